@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import cooccur, groups
+from mnemospark.llm import cooccur, groups, neighbours
 from mnemospark.sources.tables import table
 
 
@@ -24,10 +24,20 @@ def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of anchors of a cosine of 0.9 or more, one among the 10 nearest of the other."""
+    return neighbours.near_pairs(table(spark, folder, "anchors"))
+
+
+def p2_knn(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest anchors of every anchor, each found with a probability of 0.95 or more."""
+    return neighbours.nearest(table(spark, folder, "anchors"), confidence=0.95)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The group of every anchor id that is matched to another."""
     return groups.duplicate_groups(table(spark, folder, "edges"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p4_found": p4_found}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_knn, p4_found)}
