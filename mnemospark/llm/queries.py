@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import cooccur, groups, neighbours
+from mnemospark.llm import cooccur, groups, mixing, neighbours, tokens
 from mnemospark.sources.tables import table
 
 
@@ -39,5 +39,21 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.duplicate_groups(table(spark, folder, "edges"))
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The byte_bpe_50k ids of every document."""
+    return tokens.encoded(table(spark, folder, "documents"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of a mixture to the target shares, in its order."""
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The target share and the share really reached of every source."""
+    targets = table(spark, folder, "mix_targets")
+    return mixing.shares(mixing.mixture(table(spark, folder, "documents"), targets), targets)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_knn, p4_found)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_knn, p4_found, p6_ids, p7_mix, p7_shares)}
