@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType
 
 #: Where the public vocabulary files lie unless another folder is given.
 TOKENIZERS = "/opt/tokenizers"
@@ -218,7 +219,7 @@ def sized(documents: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY
     """The rows without their text, with n_tokens; zero for null and empty texts."""
     shared = _encoder(documents.sparkSession, folder, name)
     rest = [c for c in documents.columns if c != "text"]
-    schema = documents.select(*rest).schema.add("n_tokens", "bigint")
+    schema = documents.select(*rest).schema.add("n_tokens", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, split = shared.value, regex.compile(PATTERN).findall
