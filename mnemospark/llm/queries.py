@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import cooccur, groups, mixing, neighbours, tokens
+from mnemospark.llm import cooccur, groups, mixing, neighbours, residue, tokens
 from mnemospark.sources.tables import table
 
 
@@ -55,5 +55,20 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(mixing.mixture(table(spark, folder, "documents"), targets), targets)
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with unfilled slots, or of filler, errors or script notices in place of content."""
+    return residue.judged(table(spark, folder, "documents")).select("doc_id")
+
+
+def p8_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """The excluded documents with the reason."""
+    return residue.judged(table(spark, folder, "documents"))
+
+
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents without the excluded ones."""
+    return residue.kept(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_knn, p4_found, p6_ids, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_knn, p4_found, p6_ids, p7_mix, p7_shares, p8_found, p8_reasons, p8_kept)}
