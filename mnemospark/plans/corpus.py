@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.operators import drift, orphans
+from mnemospark.plans import base_sql as S
 from mnemospark.sources.tables import table
 from mnemospark.store import Scratch
 
@@ -56,3 +57,21 @@ def p5_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p3_found, p3_counts, p5_found, p5_steps, p5_anchors, p5_edges)}
+
+
+_REFS = f"""anchor_first AS (SELECT {S.key('id')} AS k, min(loaded_at) AS first_at FROM anchors GROUP BY 1 HAVING k IS NOT NULL),
+schema_first AS (SELECT {S.key('id')} AS k, min(loaded_at) AS first_at FROM schemas GROUP BY 1 HAVING k IS NOT NULL),
+edge_first AS (SELECT edge_id, min(loaded_at) AS first_at FROM edges WHERE edge_id IS NOT NULL GROUP BY 1),
+refs AS (SELECT DISTINCT * FROM (
+    SELECT 'edges.source' AS ref_field, edge_id::VARCHAR AS record_key, {S.key('source')} AS missing_key, 'anchors' AS target, edge_first.first_at AS seen_at FROM edges JOIN edge_first USING (edge_id)
+    UNION ALL SELECT 'edges.target', edge_id::VARCHAR, {S.key('target')}, 'anchors', edge_first.first_at AS seen_at FROM edges JOIN edge_first USING (edge_id)
+    UNION ALL SELECT 'anchors.schema_ref', k, {S.key('schema_ref')}, 'schemas', first_at FROM anchors JOIN anchor_first ON k = {S.key('id')}
+    UNION ALL SELECT 'schemas.instance_ids_json', k, unnest({S.ids('instance_ids_json')}), 'anchors', first_at FROM schemas JOIN schema_first ON k = {S.key('id')}) WHERE missing_key IS NOT NULL),
+known AS (SELECT 'anchors' AS target, * FROM anchor_first UNION ALL SELECT 'schemas', * FROM schema_first)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p3_found": f"""WITH {_REFS} SELECT DISTINCT ref_field, record_key, missing_key FROM refs
+            LEFT JOIN known ON known.target = refs.target AND known.k = refs.missing_key WHERE known.k IS NULL OR known.first_at > refs.seen_at""",
+    }

@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemospark.plans import corpus
+from mnemospark.plans import corpus, lifecycle
+
+_CATALOGUES = [lifecycle.CATALOGUE]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return corpus.queries()
+    out = corpus.queries()
+    for c in _CATALOGUES:
+        out |= c.queries
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = corpus.oracle_sql()
+    for c in _CATALOGUES:
+        out |= c.sql
+    return out
