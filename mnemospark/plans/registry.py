@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemospark.plans import corpus, lifecycle
+from mnemospark.plans import corpus, graphs, lifecycle
 
-_CATALOGUES = [lifecycle.CATALOGUE]
+_CATALOGUES = [lifecycle.CATALOGUE, graphs.CATALOGUE]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
