@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemospark.plans import corpus, graphs, lifecycle
+from mnemospark.plans import corpus, graphs, lifecycle, texts
 
-_CATALOGUES = [lifecycle.CATALOGUE, graphs.CATALOGUE]
+_CATALOGUES = [lifecycle.CATALOGUE, graphs.CATALOGUE, texts.CATALOGUE]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,3 +23,8 @@ def oracle_sql() -> dict[str, str]:
     for c in _CATALOGUES:
         out |= c.sql
     return out
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Keyword search over the documents."""
+    return texts.bm25_search(spark, folder)
