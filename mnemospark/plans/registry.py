@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemospark.plans import corpus, graphs, lifecycle, texts
+from mnemospark.plans import corpus, graphs, lifecycle, pipelines, texts, timeline, vectors
 
-_CATALOGUES = [lifecycle.CATALOGUE, graphs.CATALOGUE, texts.CATALOGUE]
+_CATALOGUES = [c.CATALOGUE for c in (lifecycle, graphs, texts, vectors, timeline, pipelines)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
