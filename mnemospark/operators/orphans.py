@@ -1,12 +1,13 @@
 """References to records that do not exist (problem 3).
 
-Method: keyed state of references is maintained incrementally.  Three small tables
-are carried from batch to batch: the *parent index* (when each key first arrived
-and when it was deleted and arrived again), the *references* waiting or once
-waiting for a parent (pending state), and nothing else.  ``advance`` applies one
-batch: new references probe the parent index, arriving parents resolve waiting
-orphans, deletions reopen what they leave behind.  Applying all records in one batch
-or in any split by time gives the same state.  ``snapshot`` counts the state.
+Method: keyed state of references is maintained incrementally.  Two tables are
+carried from batch to batch: the *parent index* (when each key first arrived and
+when it was deleted and came again) and the *references* with what the index says
+of their key, the orphans among them.  ``advance`` applies one batch: new references
+probe the parent index, arriving parents resolve waiting orphans, deletions reopen
+the references they leave behind.  Only references to keys of the batch are probed
+again.  Applying all records in one batch or in any split by time gives the same
+state.  ``snapshot`` counts the orphans of a state.
 
 A key that a third of all references share is no problem: the parent index has one
 row for each key, so the join is many-to-one, its reference side is what adaptive
@@ -26,51 +27,39 @@ from mnemospark.store import Scratch
 #: Columns of references, parents and deletions.
 REFERENCE = "ref_field string, record_key string, target string, missing_key string, seen_at timestamp"
 PARENT = "target string, key string, at timestamp"
-INDEX = "target string, key string, first_at timestamp, history array<struct<at:timestamp,present:boolean>>"
+INDEX = "target string, key string, first_at timestamp, last_at timestamp, gone_at timestamp"
 PENDING = REFERENCE + ", first_at timestamp, present boolean"
 
 
 @dataclass(frozen=True)
 class OrphanState:
-    """The parent index and the references that were orphans when they came, or are now."""
+    """The parent index, and all references with the time their parent first came and whether it is there."""
 
     index: DataFrame
-    pending: DataFrame
+    references: DataFrame
+    is_empty: bool = False
+
+    @property
+    def pending(self) -> DataFrame:
+        """The references that were orphans when they came, or are now."""
+        return self.references.filter("first_at is null or first_at > seen_at or not present")
 
     @staticmethod
     def empty(spark: SparkSession) -> OrphanState:
-        return OrphanState(spark.createDataFrame([], INDEX), spark.createDataFrame([], PENDING))
-
-
-def _last(history: Column) -> Column:
-    """Whether the key is present after the last change of its history."""
-    return F.coalesce(F.try_element_at(history, F.lit(-1))["present"], F.lit(False))
+        return OrphanState(spark.createDataFrame([], INDEX), spark.createDataFrame([], PENDING), True)
 
 
 def _grown_index(index: DataFrame, parents: DataFrame, deletions: DataFrame) -> DataFrame:
-    """The index with a batch's arrivals and deletions; one row for each target and key.
+    """The index with a batch's arrivals and deletions: first and last arrival, last deletion of each key.
 
-    Only changes count: of equal arrivals in a row the first is kept, so the history
-    of a key that is sent again and again stays short.
+    Only least and greatest times are kept, so a key that comes and goes again and again
+    is combined before the shuffle and stays one row.
     """
-    changes = (
-        parents.select("target", "key", F.struct(F.col("at"), F.lit(True).alias("present")).alias("c"))
-        .unionByName(deletions.select("target", "key", F.struct(F.col("at"), F.lit(False).alias("present")).alias("c")))
-        .filter("key is not null and c.at is not null")
-        .groupBy("target", "key")
-        .agg(F.min(F.when(F.col("c.present"), F.col("c.at"))).alias("first_at"), F.collect_set("c").alias("cs"))
-    )
-    fresh = changes.select("target", "key", "first_at", F.col("cs").alias("history"))
-    merged = (
-        index.unionByName(fresh)
-        .groupBy("target", "key")
-        .agg(F.min("first_at").alias("first_at"), F.array_sort(F.flatten(F.collect_list("history"))).alias("history"))
-    )
-    steps = F.filter(
-        F.col("history"),
-        lambda x, i: (i == 0) | (F.try_element_at(F.col("history"), F.when(i > 0, i))["present"] != x["present"]),
-    )
-    return merged.select("target", "key", "first_at", steps.alias("history"))
+    none = F.lit(None).cast("timestamp")
+    came = parents.select("target", "key", F.col("at").alias("first_at"), F.col("at").alias("last_at"), none.alias("gone_at"))
+    went = deletions.select("target", "key", none.alias("first_at"), none.alias("last_at"), F.col("at").alias("gone_at"))
+    rows = index.unionByName(came).unionByName(went).filter("key is not null")
+    return rows.groupBy("target", "key").agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.max("gone_at").alias("gone_at"))
 
 
 def advance(state: OrphanState, references: DataFrame, parents: DataFrame, deletions: DataFrame | None = None) -> OrphanState:
@@ -78,24 +67,26 @@ def advance(state: OrphanState, references: DataFrame, parents: DataFrame, delet
 
     references: ref_field, record_key, target, missing_key (the key referred to), seen_at.
     parents, deletions: target, key, at.  Null keys are no references and no parents;
-    repeated rows count once, with their earliest time.  A reference is kept if its
-    parent was not there at ``seen_at``, or is not there now.
+    repeated rows count once, with their earliest time.
     """
     spark = references.sparkSession
+    first = state.is_empty
     deletions = deletions if deletions is not None else spark.createDataFrame([], PARENT)
     index = _grown_index(state.index, parents, deletions)
-    known = index.select("target", F.col("key").alias("missing_key"), F.col("first_at").alias("parent_at"), "history")
-    # waiting references from earlier batches are probed again: parents resolve, deletions reopen them
-    waiting = state.pending.select("ref_field", "record_key", "target", "missing_key", "seen_at")
-    fresh = references.filter("missing_key is not null").select(*waiting.columns)
-    all_refs = waiting.unionByName(fresh).groupBy("ref_field", "record_key", "target", "missing_key").agg(F.min("seen_at").alias("seen_at"))
-    probed = all_refs.join(known, ["target", "missing_key"], "left")
-    late = F.col("parent_at").isNull() | (F.col("parent_at") > F.col("seen_at"))
-    present = _last(F.col("history"))
-    pending = probed.filter(late | ~present).select(
-        "ref_field", "record_key", "target", "missing_key", "seen_at", F.col("parent_at").alias("first_at"), present.alias("present")
-    )
-    return OrphanState(index, pending)
+    there = F.col("last_at").isNotNull() & (F.col("gone_at").isNull() | (F.col("last_at") >= F.col("gone_at")))
+    known = index.select("target", F.col("key").alias("missing_key"), "first_at", there.alias("there"))
+    identity = ["ref_field", "record_key", "target", "missing_key"]
+    probing = references.filter("missing_key is not null").select(*identity, "seen_at")
+    kept = None
+    if not first:
+        changed = parents.select("target", F.col("key").alias("missing_key")).unionByName(deletions.select("target", F.col("key").alias("missing_key")))
+        touched = changed.unionByName(probing.select("target", "missing_key")).distinct()
+        kept = state.references.join(touched, ["target", "missing_key"], "left_anti")
+        again = state.references.join(touched, ["target", "missing_key"], "left_semi")
+        probing = probing.unionByName(again.select(*identity, "seen_at"))
+    once = probing.groupBy(*identity).agg(F.min("seen_at").alias("seen_at"))
+    probed = once.join(known, ["target", "missing_key"], "left").select(*identity, "seen_at", "first_at", F.coalesce("there", F.lit(False)).alias("present"))
+    return OrphanState(index, probed if kept is None else probed.unionByName(kept.select(*probed.columns)), False)
 
 
 def orphans(state: OrphanState) -> DataFrame:
@@ -175,8 +166,8 @@ def periods(state: OrphanState, references: DataFrame, parents: DataFrame, delet
     for p in sorted(r[0] for r in names.collect()):
         now = [df.filter(F.col("period") == F.lit(p)).drop("period") for df in (references, parents, deletions)]
         nxt = advance(state, *now)
-        kept = OrphanState(scratch.keep(nxt.index), scratch.keep(nxt.pending))
+        kept = OrphanState(scratch.keep(nxt.index), scratch.keep(nxt.references))
         previous, state = state, kept
         yield p, state
         scratch.drop(previous.index)
-        scratch.drop(previous.pending)
+        scratch.drop(previous.references)

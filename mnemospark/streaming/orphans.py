@@ -24,7 +24,7 @@ class OrphanSink:
         if number <= self.done:
             return
         nxt = orphans.advance(self.state, *self.split(batch))
-        kept = orphans.OrphanState(self.scratch.keep(nxt.index), self.scratch.keep(nxt.pending))
+        kept = orphans.OrphanState(self.scratch.keep(nxt.index), self.scratch.keep(nxt.references))
         self.scratch.drop(self.state.index)
-        self.scratch.drop(self.state.pending)
+        self.scratch.drop(self.state.references)
         self.state, self.done = kept, number
