@@ -20,7 +20,7 @@ def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of tags with its counts, lift over chance and log-likelihood ratio."""
     pairs = cooccur.pair_counts(cooccur.baskets(table(spark, folder, "anchors")))
     return pairs.select(
-        F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr")
+        F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_ab", "n_a", "n_b", F.round(F.col("lift") + 1e-9, 6).alias("lift"), F.round(F.col("llr") + 1e-9, 4).alias("llr")
     )
 
 

@@ -42,6 +42,9 @@ MOST_ARCS = 1_500_000
 
 START = -1
 
+#: The attributes that are filled while texts are read.
+_TABLES = ("arcs", "states", "inside", "ended", "words")
+
 
 def _byte_of_letter() -> dict[str, int]:
     """The byte that each letter of the JSON vocabulary stands for: printable bytes themselves, others shifted."""
@@ -77,18 +80,31 @@ class MergeAutomaton:
         self._reset()
 
     def _reset(self) -> None:
-        self.arcs: dict[int, int] = {}
-        self.states: dict[tuple[bytes, tuple[int, ...]], int] = {(b"", (START,)): 0}
-        self.inside: list[tuple[bytes, tuple[int, ...]]] = [(b"", (START,))]
-        self.ended: list[int] = [START]
-        self.words: dict[str, list[int]] = {}
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("arcs", "states", "inside", "ended", "words")}
-
-    def __setstate__(self, kept: dict) -> None:
-        self.__dict__.update(kept)
-        self._reset()
+        for name in _TABLES:
+            if name in self.__dict__:
+                self.__dict__[name].clear()
+        self.arcs: dict[int, int] = self.__dict__.get("arcs", {})
+        self.states: dict[tuple[bytes, tuple[int, ...]], int] = self.__dict__.get("states", {})
+        self.inside: list[tuple[bytes, tuple[int, ...]]] = self.__dict__.get("inside", [])
+        self.ended: list[int] = self.__dict__.get("ended", [])
+        self.words: dict[str, list[int]] = self.__dict__.get("words", {})
+        self.states[b"", (START,)] = 0
+        self.inside.append((b"", (START,)))
+        self.ended.append(START)
+
+    def plain(self) -> dict:
+        """The automaton without its tables, as builtin types only: what is sent to workers."""
+        return {k: v for k, v in self.__dict__.items() if k not in _TABLES}
+
+    @classmethod
+    def of(cls, plain: dict) -> MergeAutomaton:
+        """The automaton of ``plain``; tables that an earlier task of the process left in it are used on."""
+        own = cls.__new__(cls)
+        own.__dict__.update(plain)
+        if "words" not in plain:
+            own._reset()
+            plain.update({k: own.__dict__[k] for k in _TABLES})
+        return own
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the state that arc ``a`` leads to has an arc ``b``, by the gadgets that made both.
@@ -192,7 +208,7 @@ def ranks_of(folder: str = TOKENIZERS, name: str = VOCABULARY) -> dict[bytes, in
 
 def _encoder(spark, folder: str, name: str):
     """The automaton as a broadcast value: its size is the vocabulary's, and workers keep its tables."""
-    return spark.sparkContext.broadcast(automaton(folder, name))
+    return spark.sparkContext.broadcast(automaton(folder, name).plain())
 
 
 def encoded(documents: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
@@ -203,7 +219,7 @@ def encoded(documents: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULA
     shared = _encoder(documents.sparkSession, folder, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, split = shared.value, regex.compile(PATTERN).findall
+        own, split = MergeAutomaton.of(shared.value), regex.compile(PATTERN).findall
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 cut = batch.slice(at, 256)
@@ -222,7 +238,7 @@ def sized(documents: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY
     schema = documents.select(*rest).schema.add("n_tokens", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, split = shared.value, regex.compile(PATTERN).findall
+        own, split = MergeAutomaton.of(shared.value), regex.compile(PATTERN).findall
         for batch in batches:
             n = pa.array([len(own.encode(t, split)) for t in batch.column(len(rest)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], n], names=[*rest, "n_tokens"])
