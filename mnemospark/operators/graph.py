@@ -18,6 +18,8 @@ from mnemospark.store import Scratch
 CAUSAL = ("causes", "causal", "caused_by", "fixes", "resolves", "depends_on", "derived_from")
 
 MAX_ROUNDS = 64
+#: Rounds of a fixed-length loop between two written tables.
+CUT_EVERY = 4
 
 
 def with_traversal(both: DataFrame) -> DataFrame:
@@ -42,13 +44,12 @@ def spread(both: DataFrame, seeds: DataFrame, steps: int = 3, decay: float = 0.6
     most 1.  Seeds without edges keep their activation.
     """
     scratch = Scratch(both.sparkSession, "spread")
-    step = with_traversal(both).filter(F.col("tw") >= least).select("node", "other", "tw")
-    reached = scratch.keep(seeds.select("node", F.lit(1.0).alias("activation")).distinct())
-    wave = reached
+    step = scratch.keep(with_traversal(both).filter(F.col("tw") >= least).select("node", "other", "tw"))
+    reached = wave = seeds.select("node", F.lit(1.0).alias("activation")).distinct()
     for _ in range(steps):
         sent = wave.join(step, "node").groupBy(F.col("other").alias("node")).agg(F.sum(F.col("activation") * F.col("tw") * decay).alias("activation"))
         wave = scratch.keep(sent.join(reached.select("node"), "node", "left_anti"))
-        reached = scratch.keep(reached.unionByName(wave))
+        reached = reached.unionByName(wave)
     most = reached.agg(F.max("activation")).first()[0] or 1.0
     return reached.select("node", (F.col("activation") / max(1.0, most)).alias("activation"))
 
@@ -70,13 +71,12 @@ def best_paths(both: DataFrame, seeds: DataFrame, hops: int = 3, least: float =
     A hop multiplies by the edge's traversal weight and 0.6 to the power of the depth.
     """
     scratch = Scratch(both.sparkSession, "paths")
-    step = with_traversal(both).select("node", "other", "tw")
-    seen = scratch.keep(seeds.select("node", F.lit(0).alias("depth"), F.lit(1.0).alias("score")))
-    front = seen
+    step = scratch.keep(with_traversal(both).select("node", "other", "tw"))
+    seen = front = seeds.select("node", F.lit(0).alias("depth"), F.lit(1.0).alias("score"))
     for d in range(1, hops + 1):
         nxt = front.join(step, "node").groupBy(F.col("other").alias("node")).agg(F.max(F.col("score") * F.col("tw") * (0.6**d)).alias("score"))
         front = scratch.keep(nxt.filter(F.col("score") >= least).join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth"), "score"))
-        seen = scratch.keep(seen.unionByName(front))
+        seen = seen.unionByName(front)
     return seen
 
 
@@ -117,15 +117,14 @@ def label_propagation(both: DataFrame, rounds: int) -> DataFrame:
     scratch = Scratch(both.sparkSession, "labels")
     labels = scratch.keep(both.select("node", F.col("node").alias("label")).distinct())
     sides = scratch.keep(both.select("node", "other", "weight"))
-    for _ in range(rounds):
+    for r in range(1, rounds + 1):
         votes = sides.join(labels.toDF("other", "theirs"), "other").groupBy("node", "theirs").agg(F.round(F.sum("weight"), 9).alias("w"))
         own = votes.join(labels, "node").withColumn("mine", F.col("theirs") == F.col("label"))
         # the heaviest first, then the own label, then the least one
         best = own.groupBy("node").agg(F.max("w").alias("w"))
         top = own.join(best, ["node", "w"]).groupBy("node").agg(F.max(F.when(F.col("mine"), F.col("theirs"))).alias("own"), F.min("theirs").alias("least"))
-        nxt = scratch.keep(top.select("node", F.coalesce("own", "least").alias("label")))
-        scratch.drop(labels)
-        labels = nxt
+        nxt = top.select("node", F.coalesce("own", "least").alias("label"))
+        labels = scratch.keep(nxt) if r % 2 == 0 or r == rounds else nxt
     return labels
 
 
@@ -197,7 +196,7 @@ def pagerank(both: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float
     scratch = Scratch(both.sparkSession, "pagerank")
     seeds = scratch.keep(seeds.select("node").distinct())
     n_seeds = seeds.count()
-    step = with_traversal(both).select("node", "other", "tw")
+    step = scratch.keep(with_traversal(both).select("node", "other", "tw"))
     near = step.join(seeds, "node").select(F.col("other").alias("node"))
     working = scratch.keep(seeds.union(near).distinct())
     total = step.groupBy("node").agg(F.sum("tw").alias("total"))
@@ -207,11 +206,11 @@ def pagerank(both: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float
     start = working.join(seeds.withColumn("p", F.lit(1.0 / max(1, n_seeds))), "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("p"))
     start = scratch.keep(start)
     rank = start.select("node", F.col("p").alias("rank"))
-    for _ in range(rounds):
+    for r in range(1, rounds + 1):
         sent = rank.join(flow, "node").groupBy(F.col("other").alias("node")).agg(F.sum(F.col("rank") * F.col("share") * damping).alias("sent"))
-        nxt = scratch.keep(start.join(sent, "node", "left").select("node", (F.col("p") * (1 - damping) + F.coalesce("sent", F.lit(0.0))).alias("rank")))
-        scratch.drop(rank)
-        rank = nxt
+        nxt = start.join(sent, "node", "left").select("node", (F.col("p") * (1 - damping) + F.coalesce("sent", F.lit(0.0))).alias("rank"))
+        # the lineage is cut every few rounds
+        rank = scratch.keep(nxt) if r % CUT_EVERY == 0 and r < rounds else nxt
     return rank
 
 
