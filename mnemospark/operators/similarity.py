@@ -21,36 +21,51 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 16_384
 _TILE = 1_024
 
-SIDE = "task int, block int, id bigint, embedding array<float>"
+#: Most partitions of a join; beyond it several pairs of blocks share one.
+MOST_PARTITIONS = 20_000
 
+Block = tuple[np.ndarray, np.ndarray]
 
-def _sides(vectors: DataFrame, blocks: int) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Every vector once for each task (i <= j) that its block takes part in."""
-    tasks = [(i, j) for i in range(blocks) for j in range(i, blocks)]
-    of = F.array(*[F.array(*[F.lit(t) for t, ij in enumerate(tasks) if b in ij]) for b in range(blocks)])
-    rows = vectors.filter("id is not null and embedding is not null and size(embedding) > 0").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    return rows.select(F.explode(F.element_at(of, F.col("block") + 1)).alias("task"), "block", "id", "embedding"), tasks
 
+def _sides(vectors: DataFrame, blocks: int) -> DataFrame:
+    """Every vector once for each pair of blocks (i <= j) that its block is in; a pair's rows come in a row."""
+    rows = vectors.filter("id is not null and embedding is not null and size(embedding) > 0").select(
+        "id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
+    )
+    sides = rows.select(F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "embedding")
+    tasks = blocks * (blocks + 1) // 2
+    number = (F.col("i") * blocks - (F.col("i") * (F.col("i") - 1) / 2).cast("int") + F.col("j") - F.col("i")).cast("int")
+    out = sides.repartitionById(min(tasks, MOST_PARTITIONS), F.pmod(number, F.lit(min(tasks, MOST_PARTITIONS))))
+    return out.sortWithinPartitions("i", "j") if tasks > MOST_PARTITIONS else out
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> dict[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """The ids and unit vectors of every block of every task in a partition."""
-    parts: dict[int, dict[int, list]] = {}
-    for batch in batches:
-        task, block = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        for t in np.unique(task):
-            for b in np.unique(block[task == t]):
-                at = pa.array(np.flatnonzero((task == t) & (block == b)))
-                own = batch.take(at)
-                vectors = np.array(own.column(3).to_pylist(), dtype=np.float64)
-                parts.setdefault(int(t), {}).setdefault(int(b), []).append((np.asarray(own.column(2)), vectors))
-    out = {}
-    for t, blocks in parts.items():
-        out[t] = {}
-        for b, xs in blocks.items():
+
+def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, dict[int, Block]]]:
+    """One pair of blocks after another, with ids in order and their vectors."""
+    now, held = None, {}
+
+    def done() -> tuple[int, int, dict[int, Block]]:
+        out = {}
+        for b, xs in held.items():
             ids, v = np.concatenate([x[0] for x in xs]), np.concatenate([x[1] for x in xs])
             order = np.argsort(ids, kind="stable")
-            out[t][b] = ids[order], v[order]
-    return out
+            out[b] = ids[order], v[order]
+        return (*now, out)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        i, j, block = (np.asarray(batch.column(c)) for c in range(3))
+        cuts = [0, *(np.flatnonzero((np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if (pair := (int(i[a]), int(j[a]))) != now:
+                if now is not None:
+                    yield done()
+                now, held = pair, {}
+            for x in np.unique(block[a:b]):
+                own = batch.take(pa.array(a + np.flatnonzero(block[a:b] == x)))
+                held.setdefault(int(x), []).append((np.asarray(own.column(3)), np.array(own.column(4).to_pylist(), dtype=np.float64)))
+    if now is not None:
+        yield done()
 
 
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -64,11 +79,9 @@ def similar_pairs(vectors: DataFrame, over: float, blocks: int | None = None) ->
     All vectors must have the same length.
     """
     blocks = blocks or max(1, ceil(vectors.count() / BLOCK_ROWS))
-    sides, tasks = _sides(vectors, blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, own in _blocks(batches).items():
-            i, j = tasks[t]
+        for i, j, own in _tasks(batches):
             if i not in own or j not in own:
                 continue
             (ia, va), (ib, vb) = own[i], own[j]
@@ -80,13 +93,12 @@ def similar_pairs(vectors: DataFrame, over: float, blocks: int | None = None) ->
                 left, right, found = left[keep], right[keep], cos[r[keep], c[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(found)], names=["a", "b", "cosine"])
 
-    return sides.repartitionById(len(tasks), F.col("task")).mapInArrow(run, "a bigint, b bigint, cosine double")
+    return _sides(vectors, blocks).mapInArrow(run, "a bigint, b bigint, cosine double")
 
 
 def knn(vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
     """(id, other, cosine, rank) of each vector's k most similar others; ties to the lesser id."""
     blocks = blocks or max(1, ceil(vectors.count() / BLOCK_ROWS))
-    sides, tasks = _sides(vectors, blocks)
 
     def best(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
         for s in range(0, len(a), _TILE):
@@ -101,13 +113,12 @@ def knn(vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, own in _blocks(batches).items():
-            i, j = tasks[t]
-            for p, q in {(i, j), (j, i)}:
+        for i, j, own in _tasks(batches):
+            for p, q in sorted({(i, j), (j, i)}):
                 if p in own and q in own:
                     yield from best(*own[p], *own[q])
 
-    found = sides.repartitionById(len(tasks), F.col("task")).mapInArrow(run, "id bigint, other bigint, cosine double")
+    found = _sides(vectors, blocks).mapInArrow(run, "id bigint, other bigint, cosine double")
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("cosine"), "other"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
