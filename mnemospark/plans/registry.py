@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemospark.plans import corpus, graphs, lifecycle, pipelines, texts, timeline, vectors
+from mnemospark.plans import corpus, graphs, lifecycle, pipelines, texts, timeline, upkeep, vectors
 
-_CATALOGUES = [c.CATALOGUE for c in (lifecycle, graphs, texts, vectors, timeline, pipelines)]
+_CATALOGUES = [c.CATALOGUE for c in (lifecycle, graphs, texts, vectors, timeline, pipelines, upkeep)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
