@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemospark.functions import notation
+from mnemospark.store import Scratch
 
 #: JSON type names by the beginning of what schema_of_variant says.
 _TYPES = {"STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object", "VOID": None}
@@ -69,21 +70,26 @@ def _json_type(c: Column) -> Column:
 
 
 def cells(lines: DataFrame) -> DataFrame:
-    """One row for each top-level field of each line: field, type (null for a null value), value as JSON."""
+    """One row for each top-level field of each line: field, type (null for a null value), value as JSON, text.
+
+    ``text`` is a string's own text and any other value's JSON.  A line without a field
+    gives one row with a null field.
+    """
     view = lines.selectExpr("*", "cast(record as map<string, variant>) as fields")
     rid = F.when(
         F.col("record_kind") == "edge",
         F.concat_ws("\u0001", F.expr("to_json(try_variant_get(record, '$.source', 'variant'))"), F.expr("to_json(try_variant_get(record, '$.target', 'variant'))")),
     ).otherwise(F.expr("to_json(try_variant_get(record, '$.id', 'variant'))"))
-    return view.select("store_name", "record_kind", "file_name", "exported_at", "line_no", rid.alias("rid"), F.explode("fields").alias("field", "v")).select(
+    return view.select("store_name", "record_kind", "file_name", "exported_at", "line_no", rid.alias("rid"), F.explode_outer("fields").alias("field", "v")).select(
         "store_name", "record_kind", "file_name", "exported_at", "line_no", "rid", "field", _json_type(F.col("v")).alias("type"),
         F.when(~F.is_variant_null("v"), F.to_json("v")).alias("value"),
+        F.when(~F.is_variant_null("v"), F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v"))).alias("text"),
     )
 
 
 def fingerprints(cells: DataFrame) -> DataFrame:
     """The fields of each file with their types, and a hash of them as the schema's version key."""
-    per_field = cells.groupBy("store_name", "record_kind", "file_name", "field").agg(
+    per_field = cells.filter("field is not null").groupBy("store_name", "record_kind", "file_name", "field").agg(
         F.min("exported_at").alias("exported_at"), F.array_join(F.array_sort(F.collect_set("type")), "|").alias("type")
     )
     fields = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "type"))))
@@ -167,11 +173,60 @@ def migration_steps(changes: DataFrame) -> DataFrame:
     return changes.withColumn("step", step)
 
 
-def _field(kind: str, name: str) -> Column:
-    """The first of a field's names that holds a value, as text."""
-    names = ALIASES[kind].get(name, (name,))
-    # the value's own text: a string without its quotes, anything else as JSON
-    return F.coalesce(*[F.expr(f"coalesce(try_variant_get(record, '$.{n}', 'string'), nullif(to_json(try_variant_get(record, '$.{n}', 'variant')), 'null'))") for n in names])
+def _alias(kind: Column, name: Column) -> Column:
+    """The common table's name for a known name; null for others."""
+    out = F.lit(None).cast("string")
+    for k, fields in ALIASES.items():
+        for target, names in fields.items():
+            out = F.when((kind == k) & name.isin(*names), F.lit(target)).otherwise(out)
+    return out
+
+
+def routes(all_cells: DataFrame, scratch: Scratch) -> DataFrame:
+    """(store_name, record_kind, file_name, field, target): where each field of each file goes in the common table.
+
+    A name's life within a store starts in the file where it comes.  A rename ties the
+    new life to the old one; the ties are chained back to the first life by pointer
+    jumping.  All lives of a chain go to one target: a common name that any of them is
+    known by, else the chain's first name.
+    """
+    at = ["store_name", "record_kind"]
+    prints = scratch.keep(fingerprints(all_cells))
+    renamed = _renames(all_cells, prints).join(prints.select(*at, "file_name", "version"), [*at, "file_name"])
+    seen = prints.select(*at, "file_name", "version", F.explode(F.map_keys("fields")).alias("field"))
+    by_name = W.partitionBy(*at, "field").orderBy("version")
+    fresh = F.coalesce(F.lag("version").over(by_name) != F.col("version") - 1, F.lit(True))
+    lives = scratch.keep(seen.withColumn("start", F.when(fresh, F.col("version"))).withColumn("start", F.last("start", True).over(by_name)))
+    old_life = lives.select(*at, F.col("field").alias("old_name"), (F.col("version") + 1).alias("version"), F.col("start").alias("old_start"))
+    tie = renamed.join(old_life, [*at, "old_name", "version"])
+    ties = scratch.keep(tie.select(*at, F.col("new_name").alias("field"), F.col("version").alias("start"), F.col("old_name").alias("root"), F.col("old_start").alias("root_start")))
+    while True:
+        onward = ties.select(*at, F.col("field").alias("root"), F.col("start").alias("root_start"), F.col("root").alias("further"), F.col("root_start").alias("further_start"))
+        jumped = scratch.keep(
+            ties.join(onward, [*at, "root", "root_start"], "left").select(
+                *at, "field", "start", F.coalesce("further", "root").alias("root"), F.coalesce("further_start", "root_start").alias("root_start"), F.col("further").isNotNull().alias("moved")
+            )
+        )
+        ties = jumped.drop("moved")
+        if jumped.filter("moved").isEmpty():
+            break
+    rooted = lives.join(ties, [*at, "field", "start"], "left").select(
+        *at, "file_name", "field", F.coalesce("root", "field").alias("root"), F.coalesce("root_start", "start").alias("root_start"), _alias(F.col("record_kind"), F.col("field")).alias("known")
+    )
+    target = rooted.groupBy(*at, "root", "root_start").agg(F.coalesce(F.min("known"), F.first("root")).alias("target"))
+    return rooted.join(target, [*at, "root", "root_start"]).select(*at, "file_name", "field", "target")
+
+
+def _routed(raw: DataFrame, kind: str, columns: list[str]) -> DataFrame:
+    """The valid lines of a kind with the text of each column of the common table; what a file lacks is null.
+
+    Of two fields of a line that go to one column the greater text counts.
+    """
+    scratch = Scratch(raw.sparkSession, "drift")
+    own = scratch.keep(cells(valid_lines(raw).filter(F.col("record_kind") == kind)))
+    line = ["store_name", "record_kind", "file_name", "exported_at", "line_no"]
+    to = own.join(routes(own, scratch), ["store_name", "record_kind", "file_name", "field"], "left")
+    return to.groupBy(*line).agg(*[F.max(F.when(F.col("target") == c, F.col("text"))).alias(c) for c in columns])
 
 
 def history(c: Column | str) -> Column:
@@ -192,26 +247,42 @@ def history(c: Column | str) -> Column:
 
 
 def anchors_table(raw: DataFrame) -> DataFrame:
-    """The anchors of all files in one table: renamed, defaulted and cast; a row for each valid line."""
-    lines = valid_lines(raw).filter("record_kind = 'anchor'")
-    text = lambda n: _field("anchor", n)
-    return lines.select(
-        "store_name", "file_name", "exported_at", "line_no", notation.key(text("id")).alias("id"), text("text").alias("text"),
-        notation.tags(text("tags")).alias("tags"), text("created_at").try_cast("double").alias("created_at"), text("source_session").alias("source_session"),
-        text("replay_count").try_cast("double").cast("bigint").alias("replay_count"), notation.state(text("state")).alias("state"),
-        history(text("state_history")).alias("state_history"), text("community_id").alias("community_id"), text("thermal_state").alias("thermal_state"),
-        text("segment_id").alias("segment_id"), text("salience").try_cast("double").alias("salience"), text("is_core").try_cast("boolean").alias("is_core"),
+    """The anchors of all files in one table, each file routed by its renames, with defaults and casts.
+
+    One row for each valid line; values that cannot be cast are null.
+    """
+    names = ["id", "text", "tags", "created_at", "source_session", "replay_count", "state", "state_history", "community_id", "thermal_state", "segment_id", "salience", "is_core"]
+    c = F.col
+    return _routed(raw, "anchor", names).select(
+        "store_name", "file_name", "exported_at", "line_no", notation.key("id").alias("id"), "text", notation.tags("tags").alias("tags"),
+        c("created_at").try_cast("double").alias("created_at"), "source_session", c("replay_count").try_cast("double").cast("bigint").alias("replay_count"),
+        notation.state("state").alias("state"), history("state_history").alias("state_history"), "community_id", "thermal_state", "segment_id",
+        c("salience").try_cast("double").alias("salience"), c("is_core").try_cast("boolean").alias("is_core"),
     )
 
 
 def edges_table(raw: DataFrame) -> DataFrame:
-    """The edges of all files in one table: renamed, defaulted and cast; a row for each valid line."""
-    lines = valid_lines(raw).filter("record_kind = 'edge'")
-    text = lambda n: _field("edge", n)
-    return lines.select(
-        "store_name", "file_name", "exported_at", "line_no", notation.key(text("source")).alias("source"), notation.key(text("target")).alias("target"),
-        text("weight").try_cast("double").alias("weight"), notation.edge_types(text("edge_type")).alias("edge_types"),
-        text("co_activation_count").try_cast("double").cast("bigint").alias("co_activation_count"), text("created_at").try_cast("double").alias("created_at"),
-        text("confidence").try_cast("double").alias("confidence"), text("is_stale").try_cast("boolean").alias("is_stale"),
-        text("causal_strength").try_cast("double").alias("causal_strength"), text("temporal_order").alias("temporal_order"),
+    """The edges of all files in one table, each file routed by its renames, with defaults and casts.
+
+    One row for each valid line; values that cannot be cast are null.
+    """
+    names = ["source", "target", "weight", "edge_type", "co_activation_count", "created_at", "confidence", "is_stale", "causal_strength", "temporal_order"]
+    c = F.col
+    routed = _routed(raw, "edge", names)
+    return routed.select(
+        "store_name", "file_name", "exported_at", "line_no", notation.key("source").alias("source"), notation.key("target").alias("target"),
+        c("weight").try_cast("double").alias("weight"), notation.edge_types("edge_type").alias("edge_types"),
+        c("co_activation_count").try_cast("double").cast("bigint").alias("co_activation_count"), c("created_at").try_cast("double").alias("created_at"),
+        c("confidence").try_cast("double").alias("confidence"), c("is_stale").try_cast("boolean").alias("is_stale"),
+        c("causal_strength").try_cast("double").alias("causal_strength"), "temporal_order",
     )
+
+
+def anchor_states(anchors: DataFrame) -> DataFrame:
+    """(id, state, state_history) of stored anchors in one notation; repeated rows once."""
+    return anchors.select(notation.key("id").alias("id"), notation.state("state").alias("state"), history("state_history_json").alias("state_history")).distinct()
+
+
+def edge_relations(edges: DataFrame) -> DataFrame:
+    """(edge_id, edge_types) of stored edges in one notation; repeated rows once."""
+    return edges.select("edge_id", notation.edge_types("edge_type").alias("edge_types")).distinct()

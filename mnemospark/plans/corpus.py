@@ -55,8 +55,24 @@ def p5_edges(spark: SparkSession, folder: str) -> DataFrame:
     return drift.edges_table(table(spark, folder, "raw_exports"))
 
 
+def p5_routes(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each field of each exported file goes in the common tables."""
+    scratch = Scratch(spark, "p5-routes")
+    return drift.routes(scratch.keep(drift.cells(drift.valid_lines(table(spark, folder, "raw_exports")))), scratch)
+
+
+def p5_states(spark: SparkSession, folder: str) -> DataFrame:
+    """State and state history of every stored anchor in one notation."""
+    return drift.anchor_states(table(spark, folder, "anchors"))
+
+
+def p5_relations(spark: SparkSession, folder: str) -> DataFrame:
+    """The relations of every stored edge in one notation."""
+    return drift.edge_relations(table(spark, folder, "edges"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_counts, p5_found, p5_steps, p5_anchors, p5_edges)}
+    return {f.__name__: f for f in (p3_found, p3_counts, p5_found, p5_steps, p5_anchors, p5_edges, p5_routes, p5_states, p5_relations)}
 
 
 _REFS = f"""anchor_first AS (SELECT {S.key('id')} AS k, min(loaded_at) AS first_at FROM anchors GROUP BY 1 HAVING k IS NOT NULL),

@@ -6,6 +6,7 @@ import json
 from datetime import datetime, timedelta
 
 from mnemospark.operators import drift as D
+from mnemospark.store import Scratch
 
 SCHEMA = "store_name string, file_name string, exported_at timestamp, loaded_at timestamp, line_no int, record_kind string, payload string"
 DAY = datetime(2025, 1, 1)
@@ -86,3 +87,27 @@ def test_history_notations(spark):
 def test_migration_steps(spark):
     df = lines(spark, [("f1", "anchor", 1, [{"id": "a", "x": 1}]), ("f2", "anchor", 2, [{"id": "a", "z": 1}])])
     assert [r.step for r in D.migration_steps(D.changes(df)).collect()] == ["rename x to z"]
+
+
+def test_routes_follow_chains_of_unknown_names(spark):
+    df = lines(spark, [
+        ("f1", "edge", 1, [{"source": "a", "target": "b", "edge_type": "causes"}]),
+        ("f2", "edge", 2, [{"source": "a", "target": "b", "bond": "causes"}]),
+        ("f3", "edge", 3, [{"source": "a", "target": "b", "tie": "causes"}, {}]),
+        ("f4", "edge", 4, [{"source": "a", "target": "b", "bond": 7}]),
+    ])
+    rows = {r.file_name: r for r in D.edges_table(df).filter("source is not null").collect()}
+    # two renames in a row lead back to the known name; the same name that comes anew is another field
+    assert [rows[f].edge_types for f in ("f1", "f2", "f3", "f4")] == [["causes"], ["causes"], ["causes"], []]
+    assert D.edges_table(df).count() == 5
+    scratch = Scratch(spark, "t")
+    to = {(r.file_name, r.field): r.target for r in D.routes(scratch.keep(D.cells(D.valid_lines(df))), scratch).collect()}
+    assert to["f3", "tie"] == "edge_type" and to["f4", "bond"] == "bond"
+
+
+def test_stored_notations(spark):
+    a = spark.createDataFrame([("A", "1", "active@1747300358.4", 0)] * 2 + [(None, None, None, 0)], "id string, state string, state_history_json string, at int")
+    got = {r.id: (r.state, len(r.state_history)) for r in D.anchor_states(a).collect()}
+    assert got == {"a": ("rehearsing", 1), None: (None, 0)}
+    e = spark.createDataFrame([(1, "Caused By"), (1, "Caused By"), (2, None)], "edge_id bigint, edge_type string")
+    assert sorted((r.edge_id, r.edge_types) for r in D.edge_relations(e).collect()) == [(1, ["caused_by"]), (2, [])]
