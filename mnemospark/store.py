@@ -30,6 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Folders of intermediate tables that this process made and has not swept.
+_made: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of all queries so far; to be called when their results were stored."""
+    n = len(_made)
+    while _made:
+        _delete(spark, _made.pop())
+    return n
+
+
 class Scratch:
     """Names, writes, re-reads and drops intermediate Parquet tables of one query."""
 
@@ -37,6 +55,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        _made.append(self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return it read back, without its lineage."""
@@ -51,6 +70,4 @@ class Scratch:
         """Delete a table made by ``keep`` that no later plan reads."""
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)
