@@ -130,11 +130,12 @@ def centroids(vectors: DataFrame, by: str) -> DataFrame:
     return vectors.groupBy(by).agg(F.count("*").alias("n"), F.array(*means).alias("centroid"))
 
 
-def leader_clusters(vectors: DataFrame, block: str, over: float) -> DataFrame:
+def leader_clusters(vectors: DataFrame, block: str, over: float, rows: int = 10_000) -> DataFrame:
     """(block, id, leader): greedy leaders within each block, in the order of importance and id.
 
     A vector joins the first leader whose cosine is above ``over``, else it leads.  The
-    order decides, so a block is one task; blocks must be bounded.
+    order decides, so this cannot be spread: a block of more than ``rows`` vectors is
+    split by a hash of the id, and each part has leaders of its own.
     """
     import pandas as pd
 
@@ -156,7 +157,10 @@ def leader_clusters(vectors: DataFrame, block: str, over: float) -> DataFrame:
         return pd.DataFrame({"block": pdf[block].to_numpy(), "id": ids, "leader": ids[out]})
 
     kind = dict(vectors.dtypes)[block]
-    return vectors.select(block, "id", "importance", "embedding").groupBy(block).applyInPandas(run, f"block {kind}, id bigint, leader bigint")
+    own = vectors.filter("embedding is not null").select(block, "id", "importance", "embedding")
+    sizes = own.groupBy(F.col(block).alias("_block")).agg(F.ceil(F.count("*") / rows).alias("_parts"))
+    split = own.join(sizes, F.col(block).eqNullSafe(F.col("_block"))).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts"))).drop("_block", "_parts")
+    return split.groupBy(block, "_part").applyInPandas(run, f"block {kind}, id bigint, leader bigint")
 
 
 def inhibit(candidates: DataFrame, over: float = 0.7, penalty: float = 0.3, k: int = 20) -> DataFrame:

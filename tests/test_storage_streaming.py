@@ -108,6 +108,15 @@ def test_similarity_in_one_block_or_many(spark):
     assert k1 == sorted((r.id, r.rank, r.other) for r in similarity.knn(df, 3, 3).collect()) and len(k1) == 180
 
 
+def test_leaders_within_bounded_parts(spark):
+    rows = [(i, 1.0 - i / 100, [1.0, float(i % 2) * 9], 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, importance double, embedding array<double>, label int")
+    got = {r.id: r.leader for r in similarity.leader_clusters(df, "label", 0.9).collect()}
+    assert got == {i: i % 2 for i in range(40)}
+    parts = similarity.leader_clusters(df, "label", 0.9, rows=10)
+    assert parts.count() == 40 and 2 <= parts.select("leader").distinct().count() <= 8
+
+
 def test_core_does_not_need_the_llm_subpackage():
     root = Path(__file__).resolve().parents[1]
     code = (
