@@ -79,11 +79,12 @@ def targets_of(targets: DataFrame) -> DataFrame:
     return one.filter("source is not null and weight > 0 and not isnan(weight)").groupBy("source").agg(F.min("weight").alias("weight"), F.min("repeats").alias("repeats"))
 
 
-def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 0, folder: str = tokens.TOKENIZERS) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, budget: int | str | None = None, seed: int = 0, folder: str = tokens.TOKENIZERS) -> DataFrame:
     """(doc_id, source, copy, n_tokens, finish, sent): the mixture in its order.
 
     ``sent`` is the number of tokens up to and with the row.  The budget is the number
-    of tokens of the mixture; unless given, all documents of sources with a target once.
+    of tokens of the mixture; unless given, those of all documents of sources with a target
+    once; ``"exact"`` stands for the most at which no source that has documents runs out.
     Documents of other sources or without a source or token, and copies beyond the
     budget, are left out.  Of a source that runs out before the budget is reached all
     permitted copies are in; the others then share the rest by their weights.
@@ -97,6 +98,9 @@ def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None,
     within = scratch.keep(running_sum(shuffled, scratch, ["source"], ["h", "doc_id"], "n_tokens", "upto"))
     totals = within.groupBy("source").agg(F.sum("n_tokens").alias("total"))
     plan = weights.join(totals, "source")
+    if budget == "exact":
+        least, weight = plan.agg(F.min(F.col("total") * F.col("repeats") / F.col("weight")), F.sum("weight")).first()
+        budget = int((least or 0) * (weight or 0))
     if budget is None:
         budget = totals.agg(F.sum("total")).first()[0] or 0
     copies = (

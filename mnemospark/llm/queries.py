@@ -55,6 +55,12 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(mixing.mixture(table(spark, folder, "documents"), targets), targets)
 
 
+def p7_shares_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of the largest mixture in which no source that has documents runs out."""
+    targets = table(spark, folder, "mix_targets")
+    return mixing.shares(mixing.mixture(table(spark, folder, "documents"), targets, "exact"), targets)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with unfilled slots, or of filler, errors or script notices in place of content."""
     return residue.judged(table(spark, folder, "documents")).select("doc_id")
@@ -71,4 +77,4 @@ def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_knn, p4_found, p6_ids, p7_mix, p7_shares, p8_found, p8_reasons, p8_kept)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_knn, p4_found, p6_ids, p7_mix, p7_shares, p7_shares_exact, p8_found, p8_reasons, p8_kept)}

@@ -80,3 +80,10 @@ def test_odd_rows(spark):
     assert [(r.doc_id, r.copy) for r in M.mixture(df, t).collect()] == [(4, 1)]
     assert M.mixture(df.limit(0), t).count() == 0
     assert M.mixture(df, t.limit(0)).count() == 0
+
+
+def test_exact_budget_gives_every_source_its_share(spark):
+    df = docs(spark, {"big": 600, "small": 60, "tiny": 20})
+    t = targets(spark, [("big", 0.5, 1), ("small", 0.3, 4), ("tiny", 0.1, 2), ("none", 0.1, 3)])
+    s = {r.source: r.actual_share for r in M.shares(M.mixture(df, t, "exact"), t).collect()}
+    assert s["big"] == pytest.approx(5 / 9, abs=0.01) and s["small"] == pytest.approx(3 / 9, abs=0.01) and s["tiny"] == pytest.approx(1 / 9, abs=0.01)
