@@ -1,7 +1,8 @@
 """Graph operators over ``memory.both_ways`` edges (node, other, edge_type, weight, ...).
 
-Traversals are unrolled joins of a bounded number of hops.  Loops that run until
-nothing changes write every round to the shared folder.  Degrees may be skewed: each
+Edges are read once for each hop or round, so callers pass a stored table.  Traversals
+are unrolled joins of a bounded number of hops.  Loops that run until nothing changes
+write every round to the shared folder.  Degrees may be skewed: each
 join has one row per node on the other side, and sums are combined before the shuffle.
 """
 
@@ -44,8 +45,8 @@ def spread(both: DataFrame, seeds: DataFrame, steps: int = 3, decay: float = 0.6
     most 1.  Seeds without edges keep their activation.
     """
     scratch = Scratch(both.sparkSession, "spread")
-    step = scratch.keep(with_traversal(both).filter(F.col("tw") >= least).select("node", "other", "tw"))
-    reached = wave = seeds.select("node", F.lit(1.0).alias("activation")).distinct()
+    step = with_traversal(both).filter(F.col("tw") >= least).select("node", "other", "tw")
+    reached = wave = scratch.keep(seeds.select("node", F.lit(1.0).alias("activation")).distinct())
     for _ in range(steps):
         sent = wave.join(step, "node").groupBy(F.col("other").alias("node")).agg(F.sum(F.col("activation") * F.col("tw") * decay).alias("activation"))
         wave = scratch.keep(sent.join(reached.select("node"), "node", "left_anti"))
@@ -71,8 +72,8 @@ def best_paths(both: DataFrame, seeds: DataFrame, hops: int = 3, least: float =
     A hop multiplies by the edge's traversal weight and 0.6 to the power of the depth.
     """
     scratch = Scratch(both.sparkSession, "paths")
-    step = scratch.keep(with_traversal(both).select("node", "other", "tw"))
-    seen = front = seeds.select("node", F.lit(0).alias("depth"), F.lit(1.0).alias("score"))
+    step = with_traversal(both).select("node", "other", "tw")
+    seen = front = scratch.keep(seeds.select("node", F.lit(0).alias("depth"), F.lit(1.0).alias("score")))
     for d in range(1, hops + 1):
         nxt = front.join(step, "node").groupBy(F.col("other").alias("node")).agg(F.max(F.col("score") * F.col("tw") * (0.6**d)).alias("score"))
         front = scratch.keep(nxt.filter(F.col("score") >= least).join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth"), "score"))
@@ -116,7 +117,7 @@ def label_propagation(both: DataFrame, rounds: int) -> DataFrame:
     """
     scratch = Scratch(both.sparkSession, "labels")
     labels = scratch.keep(both.select("node", F.col("node").alias("label")).distinct())
-    sides = scratch.keep(both.select("node", "other", "weight"))
+    sides = both.select("node", "other", "weight")
     for r in range(1, rounds + 1):
         votes = sides.join(labels.toDF("other", "theirs"), "other").groupBy("node", "theirs").agg(F.round(F.sum("weight"), 9).alias("w"))
         own = votes.join(labels, "node").withColumn("mine", F.col("theirs") == F.col("label"))
@@ -196,7 +197,7 @@ def pagerank(both: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float
     scratch = Scratch(both.sparkSession, "pagerank")
     seeds = scratch.keep(seeds.select("node").distinct())
     n_seeds = seeds.count()
-    step = scratch.keep(with_traversal(both).select("node", "other", "tw"))
+    step = with_traversal(both).select("node", "other", "tw")
     near = step.join(seeds, "node").select(F.col("other").alias("node"))
     working = scratch.keep(seeds.union(near).distinct())
     total = step.groupBy("node").agg(F.sum("tw").alias("total"))
@@ -220,6 +221,7 @@ def causal_chains(edges: DataFrame, starts: DataFrame, depth: int = 3, least: fl
     A path is followed while the product of its weights is at least ``least``.
     """
     step = edges.filter(F.col("edge_type").isin(*CAUSAL)).groupBy("src", "dst").agg(F.max("weight").alias("w"))
+    starts = Scratch(edges.sparkSession, "chains").keep(starts.select("node"))
     path = starts.select(F.col("node").alias("start"), F.col("node").alias("end"), F.array("node").alias("path"), F.lit(1.0).alias("confidence"))
     out = None
     for d in range(1, depth + 1):

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
+from mnemospark.store import Scratch
 
 
 def query_tokens(query: str) -> Counter:
@@ -28,7 +29,8 @@ def bm25(docs: DataFrame, query: str, k1: float = 1.5, b: float = 0.75) -> DataF
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
     toks = docs.filter("text is not null and text <> ''").select("id", T.tokens("text").alias("all"))
     hits = toks.select("id", F.size("all").alias("dl"), F.filter("all", lambda x: x.isin(*wanted)).alias("toks"))
-    counts = hits.select("id", "dl", *[F.size(_occurrences(w)).alias(f"tf{i}") for i, w in enumerate(wanted)])
+    # the numbers are stored, so texts are read once for the totals and the scores
+    counts = Scratch(docs.sparkSession, "bm25").keep(hits.select("id", "dl", *[F.size(_occurrences(w)).alias(f"tf{i}") for i, w in enumerate(wanted)]))
     totals = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]).first()
     n, avgdl = totals["n"], max(1.0, totals["avgdl"] or 1.0)
     score = F.lit(0.0)

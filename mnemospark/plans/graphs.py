@@ -11,6 +11,7 @@ from mnemospark.plans import base_sql as S
 from mnemospark.plans.catalogue import Catalogue, r6
 from mnemospark.sources import memory
 from mnemospark.sources.memory import AS_OF
+from mnemospark.store import Scratch
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -20,20 +21,26 @@ _GRAPH = (S.LINKS, S.PAIRS, S.BOTH, f"step AS MATERIALIZED (SELECT node, other,
 _SEEDS = "seeds AS MATERIALIZED (SELECT node FROM (SELECT node, count(*) AS n FROM both_ways GROUP BY 1 ORDER BY n DESC, node LIMIT 5))"
 
 
-def _both(spark: SparkSession, folder: str) -> DataFrame:
+def _once(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges from either end, for queries that read them once."""
     return memory.both_ways(memory.pairs(memory.edges(spark, folder)))
 
 
+def _both(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges from either end, stored once for all hops and rounds of a query."""
+    return Scratch(spark, "graph").keep(_once(spark, folder))
+
+
 @query(S.over(*_GRAPH, then="SELECT node, other, round(tw, 6) AS tw, rank FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY tw DESC, other)::INTEGER AS rank FROM step) WHERE rank <= 3"))
 def strongest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The three strongest neighbours of every node."""
-    return graph.neighbours(_both(spark, folder), 3).select("node", "other", r6("tw", "tw"), "rank")
+    return graph.neighbours(_once(spark, folder), 3).select("node", "other", r6("tw", "tw"), "rank")
 
 
 @query(S.over(*_GRAPH, then="SELECT degree, count(*) AS nodes FROM (SELECT node, count(*) AS degree FROM both_ways GROUP BY 1) GROUP BY 1"))
 def degree_distribution(spark: SparkSession, folder: str) -> DataFrame:
     """How many nodes have how many neighbours."""
-    return _both(spark, folder).groupBy("node").agg(F.count("*").alias("degree")).groupBy("degree").agg(F.count("*").alias("nodes"))
+    return _once(spark, folder).groupBy("node").agg(F.count("*").alias("degree")).groupBy("degree").agg(F.count("*").alias("nodes"))
 
 
 def _waves(steps: int) -> str:
@@ -121,7 +128,7 @@ def lpa_fixed_rounds(spark: SparkSession, folder: str) -> DataFrame:
     FROM pairs JOIN deg a ON a.node = lo JOIN deg b ON b.node = hi JOIN lab4 la ON la.node = lo JOIN lab4 lb ON lb.node = hi CROSS JOIN mm WHERE la.label = lb.label"""))
 def modularity(spark: SparkSession, folder: str) -> DataFrame:
     """Modularity and number of the communities."""
-    pairs = memory.pairs(memory.edges(spark, folder))
+    pairs = Scratch(spark, "graph").keep(memory.pairs(memory.edges(spark, folder)))
     q = graph.modularity(pairs, graph.label_propagation(memory.both_ways(pairs), 4))
     return q.select(r6("modularity", "modularity"), "communities")
 
@@ -131,7 +138,7 @@ def modularity(spark: SparkSession, folder: str) -> DataFrame:
     CASE WHEN size < 10 THEN '1-9' WHEN size < 25 THEN '10-24' WHEN size < 50 THEN '25-49' WHEN size < 100 THEN '50-99' WHEN size < 200 THEN '100-199' ELSE '200+' END AS bucket FROM sz LEFT JOIN ins USING (label)"""))
 def community_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Size, inner edges, density and size bucket of every community."""
-    pairs = memory.pairs(memory.edges(spark, folder))
+    pairs = Scratch(spark, "graph").keep(memory.pairs(memory.edges(spark, folder)))
     labels = graph.label_propagation(memory.both_ways(pairs), 4)
     inside = pairs.join(labels.toDF("lo", "label"), "lo").join(labels.toDF("hi", "lb"), "hi").filter("label = lb").groupBy("label").agg(F.count("*").alias("inside"))
     s = F.col("size")
@@ -234,6 +241,6 @@ def topology_rank(spark: SparkSession, folder: str) -> DataFrame:
 @query(S.over(S.LINKS, S.PAIRS, S.BOTH, S.MEM, then="""SELECT state, edge_type, count(*) AS n, round(avg(weight), 6) AS mean_weight FROM both_ways JOIN mem ON id = node GROUP BY ROLLUP (state, edge_type)"""))
 def edges_by_state(spark: SparkSession, folder: str) -> DataFrame:
     """Edges and mean weight by the node's state and edge type, with subtotals."""
-    both = _both(spark, folder).withColumnRenamed("node", "id")
+    both = _once(spark, folder).withColumnRenamed("node", "id")
     j = both.join(memory.anchors(spark, folder).select("id", "state"), "id")
     return j.rollup("state", "edge_type").agg(F.count("*").alias("n"), r6(F.avg("weight"), "mean_weight"))

@@ -42,7 +42,7 @@ def recall(anchors: DataFrame, both: DataFrame, text: str, k: int = 24) -> DataF
     path adds 0.05.  Keyword matches come first, then the score decides.
     """
     live = anchors.filter(decay.is_retrievable())
-    hits = search.bm25(live.select("id", "text"), text)
+    hits = Scratch(anchors.sparkSession, "recall").keep(search.bm25(live.select("id", "text"), text))
     best = search.ranked(hits.select("id", (1.0 - F.exp(-F.col("score") / 1.5)).alias("score")), k)
     plane = search.ranked(live.select("id", plane_score().alias("score")), k)
     seeds = search.ranked(hits, 5).select(F.col("id").alias("node"))
@@ -67,8 +67,9 @@ def recall(anchors: DataFrame, both: DataFrame, text: str, k: int = 24) -> DataF
 @query()
 def recall_multi_path(spark: SparkSession, folder: str) -> DataFrame:
     """What several paths together recall for a query (a top-k report)."""
-    both = memory.both_ways(memory.pairs(memory.edges(spark, folder)))
-    return recall(memory.anchors(spark, folder), both, QUERY).select("id", "path", r6("score", "score"), "rank")
+    scratch = Scratch(spark, "recall")
+    both = scratch.keep(memory.both_ways(memory.pairs(memory.edges(spark, folder))))
+    return recall(scratch.keep(memory.anchors(spark, folder)), both, QUERY).select("id", "path", r6("score", "score"), "rank")
 
 
 def consolidate(anchors: DataFrame, pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, list[tuple[str, int]]]:
@@ -104,7 +105,7 @@ def consolidate(anchors: DataFrame, pairs: DataFrame, scratch: Scratch) -> tuple
 def sleep_report(spark: SparkSession, folder: str) -> DataFrame:
     """How many anchors and edges one cycle of consolidation leaves."""
     scratch = Scratch(spark, "sleep")
-    *_, report = consolidate(memory.anchors(spark, folder), memory.pairs(memory.edges(spark, folder)), scratch)
+    *_, report = consolidate(scratch.keep(memory.anchors(spark, folder)), scratch.keep(memory.pairs(memory.edges(spark, folder))), scratch)
     return spark.createDataFrame(report, "measure string, n bigint")
 
 

@@ -19,6 +19,7 @@ from mnemospark.plans.vectors import _Q, _VM, _cos, _query_vector, memories
 from mnemospark.sources import memory
 from mnemospark.sources.memory import AS_OF
 from mnemospark.sources.tables import table
+from mnemospark.store import Scratch
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -135,7 +136,8 @@ def trace_reasons(spark: SparkSession, folder: str) -> DataFrame:
 @query(S.over(S.MEM, *_GRAPH, _lpa(4), "t AS (SELECT label, tag, count(*) AS n FROM (SELECT label, unnest(tags) AS tag FROM lab4 JOIN mem ON id = node) GROUP BY 1, 2)", then="SELECT label, string_agg(tag, ',' ORDER BY n DESC, tag) AS topic FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, tag) AS rn FROM t) WHERE rn <= 3 GROUP BY 1"))
 def community_topics(spark: SparkSession, folder: str) -> DataFrame:
     """The three commonest tags of every community."""
-    labels = graph.label_propagation(memory.both_ways(memory.pairs(memory.edges(spark, folder))), 4).withColumnRenamed("node", "id")
+    both = Scratch(spark, "graph").keep(memory.both_ways(memory.pairs(memory.edges(spark, folder))))
+    labels = graph.label_propagation(both, 4).withColumnRenamed("node", "id")
     t = labels.join(memory.anchors(spark, folder).select("id", F.explode("tags").alias("tag")), "id").groupBy("label", "tag").agg(F.count("*").alias("n"))
     top = t.withColumn("rn", F.row_number().over(W.partitionBy("label").orderBy(F.desc("n"), "tag"))).filter("rn <= 3")
     return top.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "tag"))), lambda x: x["tag"]), ",").alias("topic"))
@@ -145,7 +147,7 @@ def community_topics(spark: SparkSession, folder: str) -> DataFrame:
     then="SELECT old, new, round(c.n / (a.n + b.n - c.n)::DOUBLE, 6) AS jaccard FROM c JOIN a ON a.label = old JOIN b ON b.label = new WHERE c.n / (a.n + b.n - c.n)::DOUBLE > 0.4"))
 def community_match(spark: SparkSession, folder: str) -> DataFrame:
     """Communities of two runs that are the same: more than 0.4 of their members in common."""
-    both = memory.both_ways(memory.pairs(memory.edges(spark, folder)))
+    both = Scratch(spark, "graph").keep(memory.both_ways(memory.pairs(memory.edges(spark, folder))))
     x, y = graph.label_propagation(both, 2).toDF("node", "old"), graph.label_propagation(both, 4).toDF("node", "new")
     c = x.join(y, "node").groupBy("old", "new").agg(F.count("*").alias("n"))
     j = c.join(x.groupBy("old").agg(F.count("*").alias("na")), "old").join(y.groupBy("new").agg(F.count("*").alias("nb")), "new")
