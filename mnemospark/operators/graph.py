@@ -188,6 +188,26 @@ def transitive(pairs: DataFrame, over: float = 0.6, least: float = 0.15, damping
     return found.groupBy("lo", "hi").agg(F.max("weight").alias("weight")).join(pairs.select("lo", "hi"), ["lo", "hi"], "left_anti")
 
 
+def transitive_all(pairs: DataFrame, at_least: float = 0.6, least: float = 0.15, damping: float = 0.7, rows: int = 1024) -> DataFrame:
+    """(lo, hi, weight) of all pairs that two strong edges connect and no edge does: the best product.
+
+    Every edge of ``at_least`` or more counts, whatever the degree of the node between.  Its
+    neighbours are split by a hash into parts of about ``rows``, and each two parts meet
+    in one group of the join, so no group grows with a hub; the pairs do, with the square.
+    """
+    strong = pairs.filter(F.col("weight") >= at_least).select("lo", "hi", "weight")
+    sides = strong.select(F.col("lo").alias("via"), F.col("hi").alias("end"), "weight").union(strong.select("hi", "lo", "weight"))
+    parts = sides.groupBy("via").agg(F.ceil(F.count("*") / rows).alias("n"))
+    own = sides.join(parts, "via").withColumn("own", F.pmod(F.xxhash64("end"), "n"))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    a = sent.filter("own <= other").select("via", F.col("own").alias("i"), F.col("other").alias("j"), F.col("end").alias("ea"), F.col("weight").alias("wa"))
+    b = sent.filter("own >= other").select("via", F.col("other").alias("i"), F.col("own").alias("j"), F.col("end").alias("eb"), F.col("weight").alias("wb"))
+    w = F.col("wa") * F.col("wb") * damping
+    met = a.join(b, ["via", "i", "j"]).filter("i < j or ea < eb")
+    found = met.select(F.least("ea", "eb").alias("lo"), F.greatest("ea", "eb").alias("hi"), w.alias("weight")).filter(F.col("weight") > least)
+    return found.groupBy("lo", "hi").agg(F.max("weight").alias("weight")).join(pairs.select("lo", "hi"), ["lo", "hi"], "left_anti")
+
+
 def pagerank(both: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """(node, rank): personalised rank of the seeds' working set after a fixed number of rounds.
 

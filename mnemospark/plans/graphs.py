@@ -198,6 +198,15 @@ def transitive_closure(spark: SparkSession, folder: str) -> DataFrame:
     return graph.transitive(memory.pairs(memory.edges(spark, folder))).select("lo", "hi", r6("weight", "weight"))
 
 
+@query(S.over(*_GRAPH, "st AS (SELECT * FROM pairs WHERE weight >= 0.6)", "sd AS (SELECT lo AS via, hi AS e, weight FROM st UNION ALL SELECT hi, lo, weight FROM st)",
+    then="""SELECT lo, hi, round(max(w), 6) AS weight FROM (SELECT a.e AS lo, b.e AS hi, a.weight * b.weight * 0.7 AS w FROM sd a JOIN sd b ON a.via = b.via AND a.e < b.e) t
+    WHERE w > 0.15 AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.lo = t.lo AND p.hi = t.hi) GROUP BY 1, 2"""))
+def transitive_closure_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs that two strong edges connect and no edge does, through hubs of any degree."""
+    pairs = Scratch(spark, "graph").keep(memory.pairs(memory.edges(spark, folder)).select("lo", "hi", "weight"))
+    return graph.transitive_all(pairs).select("lo", "hi", r6("weight", "weight"))
+
+
 def _ppr(rounds: int) -> str:
     out = ["wk AS MATERIALIZED (SELECT DISTINCT node FROM (SELECT node FROM seeds UNION ALL SELECT other FROM step JOIN seeds USING (node)))",
            "tot AS (SELECT node, sum(tw) AS total FROM step GROUP BY 1)",

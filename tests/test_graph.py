@@ -78,6 +78,26 @@ def test_transitive_is_bounded_at_hubs(spark):
     assert [(r.lo, r.hi) for r in G.transitive(pairs(spark, [("a", "b", "x", 0.9), ("b", "c", "x", 0.8), ("c", "d", "x", 0.1)])).collect()] == [("a", "c")]
 
 
+def test_transitive_all_takes_every_neighbour_of_a_hub(spark):
+    rng = random.Random(5)
+    weight = {("hub", f"s{i:03d}"): rng.choice([0.6, 0.7, 0.9]) for i in range(120)} | {("other", f"s{i:03d}"): 0.8 for i in range(0, 120, 7)}
+    weight |= {("s000", "s001"): 0.1, ("s002", "s003"): 0.9, ("s004", "z"): 0.5}
+    near: dict[str, dict[str, float]] = {}
+    for (a, b), w in weight.items():
+        if w >= 0.6:
+            near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w
+    want: dict[tuple[str, str], float] = {}
+    for of in near.values():
+        for a in of:
+            for b in of:
+                if a < b and (a, b) not in weight:
+                    want[a, b] = max(want.get((a, b), 0), of[a] * of[b] * 0.7)
+    p = pairs(spark, [(a, b, "topical", w) for (a, b), w in weight.items()])
+    for rows in (16, 1024):
+        got = [((r.lo, r.hi), r.weight) for r in G.transitive_all(p, rows=rows).collect()]
+        assert len(got) == len(want) and dict(got) == pytest.approx(want)
+
+
 def test_causal_chains_do_not_turn_back(spark):
     e = spark.createDataFrame([("a", "b", "causes", 0.9), ("b", "c", "fixes", 0.9), ("c", "a", "causes", 0.9), ("c", "d", "topical", 0.9)], "src string, dst string, edge_type string, weight double")
     got = {(r.path, r.depth) for r in G.causal_chains(e, seeds(spark, "a")).collect()}
