@@ -1,7 +1,7 @@
 """Template residue and error-page text (problem 8).
 
 Method: lines are normalised and counted by host (the document's source); lines that
-recur among a host's documents are its boilerplate and are subtracted.  What remains
+recur among a share of a host's distinct texts are its boilerplate and are subtracted.  What remains
 of a document is excluded if it has error, filler or script-required evidence and no
 content beside it; a slot that was not filled counts wherever it stands in prose.
 
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from mnemospark.functions.notation import key
 from mnemospark.store import Scratch
 
-#: Documents of a host that must share a line before it is boilerplate.
+#: Distinct texts of a host that must share a line before it is boilerplate: at least so many,
 RECURRENT = 5
+#: and this share of them, so that it does not depend on the size of the corpus.
+SHARE = 0.02
 #: Longest line that can be boilerplate.
 LINE_CHARS = 160
 #: Characters of unexplained text that a title or page furniture may have.
@@ -277,16 +279,23 @@ def _normal(c: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), r"[0-9]+", "#")
 
 
-def line_counts(documents: DataFrame, least: int = RECURRENT) -> DataFrame:
-    """(host, line): hashes of the normalised lines that at least ``least`` documents of a host have."""
+def line_counts(documents: DataFrame, least: int = RECURRENT, share: float = SHARE) -> DataFrame:
+    """(host, line): hashes of the normalised lines of at least ``least`` texts of a host and ``share`` of them.
+
+    Identical texts of a host count once.
+    """
     lines = F.array_distinct(F.transform(F.split("text", r"\n+"), _normal))
     short = F.filter(lines, lambda x: (F.length(x) > 0) & (F.length(x) <= LINE_CHARS))
-    return (
+    texts = (
         documents.filter("text is not null")
-        .select(F.coalesce(key("source"), F.lit("")).alias("host"), F.explode(F.transform(short, lambda x: F.xxhash64(x))).alias("line"))
-        .groupBy("host", "line").agg(F.count("*").alias("n"))
-        .filter(F.col("n") >= least).select("host", "line")
+        .select(F.coalesce(key("source"), F.lit("")).alias("host"), F.xxhash64("text").alias("same"), F.transform(short, lambda x: F.xxhash64(x)).alias("lines"))
+        .groupBy("host", "same").agg(F.any_value("lines").alias("lines"))
     )
+    # the row without a line counts the texts of the host
+    counts = texts.select("host", F.explode(F.concat("lines", F.array(F.lit(None).cast("bigint")))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    counts = Scratch(documents.sparkSession, "lines").keep(counts.filter(f"n >= {least} or line is null"))
+    sizes = counts.filter("line is null").select("host", F.col("n").alias("of"))
+    return counts.filter(F.col("n") >= least).filter("line is not null").join(sizes, "host").filter(F.col("n") >= share * F.col("of")).select("host", "line")
 
 
 def judged(documents: DataFrame, furniture: int = FURNITURE_CHARS) -> DataFrame:

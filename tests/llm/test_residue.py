@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from mnemospark.llm import residue as R
 
@@ -58,6 +59,22 @@ def test_recurrent_lines_of_a_host_are_subtracted(spark):
     assert R.judged(both).count() == 0
 
 
+def test_verdict_does_not_depend_on_the_size_of_the_corpus(spark):
+    nav = "Timeline view with every anchor, edge and ghost of this store, newest first, oldest last"
+    sound = "That contradiction was kept on purpose, because both of the sessions had good reasons for their own answer"
+    # a sound text with one sentence of an error, and an error page with boilerplate only
+    texts = [f"{sound}\n\nAccess denied.", f"{nav}\n\nAccess denied. Please sign in."]
+    few = table(spark, texts + [f"{nav}\n{CONTENT} {'abcdefghij'[i]}" for i in range(8)] + [f"{CONTENT} {'uvwxy'[i]}" for i in range(5)])
+    assert [r.doc_id for r in R.judged(few).collect()] == [1]
+    # copies count once
+    copies = few.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9)))).drop("k")
+    assert [r.doc_id for r in R.judged(copies).collect()] == [1]
+    # in an enlarged corpus a sentence that five of many texts share is content
+    more = [f"{nav}\n{CONTENT} {i}x" for i in range(200)] + [f"{CONTENT} {i}y" for i in range(400)] + [f"{sound}\n{CONTENT} {i}z" for i in range(6)]
+    large = few.unionByName(table(spark, more).withColumn("doc_id", F.col("doc_id") + 1000))
+    assert [r.doc_id for r in R.judged(large).collect()] == [1]
+
+
 def test_repeated_rows_nulls_and_empty_tables(spark):
     df = table(spark, CASES[:2], None)
     assert sorted(r.doc_id for r in R.judged(df.union(df)).collect()) == [0, 1]
