@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemospark.store import Scratch
+
 #: Vectors of a block; a task holds two.
 BLOCK_ROWS = 16_384
 _TILE = 1_024
@@ -133,16 +135,21 @@ def centroids(vectors: DataFrame, by: str) -> DataFrame:
 def leader_clusters(vectors: DataFrame, block: str, over: float, rows: int = 10_000) -> DataFrame:
     """(block, id, leader): greedy leaders within each block, in the order of importance and id.
 
-    A vector joins the first leader whose cosine is above ``over``, else it leads.  The
-    order decides, so this cannot be spread: a block of more than ``rows`` vectors is
-    split by a hash of the id, and each part has leaders of its own.
+    A vector joins the first leader whose cosine is above ``over``, else it leads.  Blocks
+    of more than ``rows`` vectors go by rounds: the first ``rows`` that are left elect
+    leaders in one task, the others meet the new leaders in parts of about ``rows``, and
+    those that join none are left for the next round.  The result is that of one task
+    over the whole block.
     """
     import pandas as pd
 
+    def unit(pdf: pd.DataFrame) -> np.ndarray:
+        v = np.array(pdf.embedding.tolist(), dtype=np.float64)
+        return v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-8)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["importance", "id"], ascending=[False, True])
-        v = np.array(pdf.embedding.tolist(), dtype=np.float64)
-        v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-8
+        v = unit(pdf)
         leaders: list[int] = []
         out = []
         for i in range(len(v)):
@@ -156,11 +163,45 @@ def leader_clusters(vectors: DataFrame, block: str, over: float, rows: int = 10_
         ids = pdf.id.to_numpy()
         return pd.DataFrame({"block": pdf[block].to_numpy(), "id": ids, "leader": ids[out]})
 
-    kind = dict(vectors.dtypes)[block]
-    own = vectors.filter("embedding is not null").select(block, "id", "importance", "embedding")
-    sizes = own.groupBy(F.col(block).alias("_block")).agg(F.ceil(F.count("*") / rows).alias("_parts"))
-    split = own.join(sizes, F.col(block).eqNullSafe(F.col("_block"))).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts"))).drop("_block", "_parts")
-    return split.groupBy(block, "_part").applyInPandas(run, f"block {kind}, id bigint, leader bigint")
+    def meet(rest: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        first = np.full(len(rest), -1)
+        if len(rest) and len(leaders):
+            leaders = leaders.sort_values(["importance", "id"], ascending=[False, True])
+            a, b = unit(rest), unit(leaders)
+            for s in range(0, len(a), _TILE):
+                hit = a[s : s + _TILE] @ b.T > over
+                first[s : s + _TILE] = np.where(hit.any(axis=1), hit.argmax(axis=1), -1)
+        ids = leaders.id.to_numpy()
+        return rest[[block, "id", "importance", "embedding"]].assign(leader=pd.array([ids[x] if x >= 0 else None for x in first], dtype="Int64"))
+
+    types = dict(vectors.dtypes)
+    found = f"block {types[block]}, id bigint, leader bigint"
+    left = vectors.filter("embedding is not null").select(block, "id", "importance", "embedding")
+    scratch, out = Scratch(vectors.sparkSession, "leaders"), None
+    while True:
+        sizes = left.groupBy(F.col(block).alias("_block")).agg(F.ceil(F.count("*") / rows).alias("_parts"))
+        if (sizes.agg(F.max("_parts")).first()[0] or 0) <= 1:
+            last = left.groupBy(block).applyInPandas(run, found)
+            return last if out is None else out.unionByName(last)
+        place = F.row_number().over(W.partitionBy(block).orderBy(F.col("importance").desc_nulls_last(), "id"))
+        placed = scratch.keep(left.withColumn("_place", place))
+        head = placed.filter(F.col("_place") <= rows)
+        elected = scratch.keep(head.groupBy(block).applyInPandas(run, found))
+        parts = scratch.keep(sizes)
+        rest = placed.filter(F.col("_place") > rows).join(parts, F.col(block).eqNullSafe(F.col("_block")))
+        rest = rest.select(block, "id", "importance", "embedding", F.pmod(F.xxhash64("id"), F.col("_parts")).alias("_part"))
+        new = elected.filter("id = leader").select(F.col("block").alias("_of"), F.col("id").alias("_id"))
+        lead = head.join(new, F.col(block).eqNullSafe(F.col("_of")) & (F.col("id") == F.col("_id"))).join(parts, F.col(block).eqNullSafe(F.col("_block")))
+        lead = lead.select(block, "id", "importance", "embedding", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)).alias("_part"))
+        lead = lead.toDF(*lead.columns)  # columns of its own, as both sides come from one table
+        met = rest.groupBy(block, "_part").cogroup(lead.groupBy(block, "_part")).applyInPandas(
+            meet, f"`{block}` {types[block]}, id bigint, importance {types['importance']}, embedding {types['embedding']}, leader bigint"
+        )
+        met = scratch.keep(met)
+        joined = met.filter("leader is not null").select(F.col(block).alias("block"), "id", "leader")
+        both = elected.unionByName(joined)
+        out = both if out is None else out.unionByName(both)
+        left = met.filter("leader is null").drop("leader")
 
 
 def inhibit(candidates: DataFrame, over: float = 0.7, penalty: float = 0.3, k: int = 20) -> DataFrame:

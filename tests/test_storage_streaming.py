@@ -117,6 +117,23 @@ def test_leaders_within_bounded_parts(spark):
     assert parts.count() == 40 and 2 <= parts.select("leader").distinct().count() <= 8
 
 
+def test_leaders_do_not_depend_on_the_size_of_parts(spark):
+    import numpy as np
+
+    v = np.random.default_rng(4).standard_normal((90, 6))
+    rows = [(i, float(i % 5), [float(x) for x in r], None if i < 70 else i % 2) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "id bigint, importance double, embedding array<double>, label int")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want, leaders = {}, {}
+    for i in sorted(range(90), key=lambda i: (-rows[i][1], i)):
+        own = leaders.setdefault(rows[i][3], [])
+        want[i] = next((x for x in own if u[x] @ u[i] > 0.6), i)
+        own += [i] * (want[i] == i)
+    for size in (10, 25, 10_000):
+        got = [(r.id, r.leader) for r in similarity.leader_clusters(df, "label", 0.6, rows=size).collect()]
+        assert len(got) == 90 and dict(got) == want
+
+
 def test_core_does_not_need_the_llm_subpackage():
     root = Path(__file__).resolve().parents[1]
     code = (
