@@ -147,6 +147,12 @@ def memory_parents(anchors: DataFrame, schemas: DataFrame) -> DataFrame:
     return one(anchors, "anchors").unionByName(one(schemas, "schemas")).filter("key is not null")
 
 
+def memory_arrivals(anchors: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Every load of anchors and schemas, once for each key and time: what was pruned may come again."""
+    one = lambda df, name: df.select(F.lit(name).alias("target"), notation.key("id").alias("key"), F.col("loaded_at").alias("at"))
+    return one(anchors, "anchors").unionByName(one(schemas, "schemas")).filter("key is not null").distinct()
+
+
 def memory_deletions(ghosts: DataFrame) -> DataFrame:
     """Anchors that were pruned, at the time of pruning; ghosts without a time are left out."""
     return ghosts.select(F.lit("anchors").alias("target"), notation.key("id").alias("key"), F.timestamp_seconds("pruned_at").alias("at")).filter("key is not null and at is not null")
@@ -155,16 +161,17 @@ def memory_deletions(ghosts: DataFrame) -> DataFrame:
 def periods(state: OrphanState, references: DataFrame, parents: DataFrame, deletions: DataFrame, unit: str = "month", scratch: Scratch | None = None):
     """Replays load periods in order and yields (period, state) after each.
 
-    The state is written after every period, so its lineage does not grow.  The number
-    of periods is that of calendar units in the data, not of rows.
+    Rows without a time are a batch of their own, the first, with a null period.  The
+    state is written after every period, so its lineage does not grow.  The number of
+    periods is that of calendar units in the data, not of rows.
     """
     spark = references.sparkSession
     scratch = scratch or Scratch(spark, "orphans")
     of = lambda df, c: df.withColumn("period", F.date_trunc(unit, c))
     references, parents, deletions = of(references, "seen_at"), of(parents, "at"), of(deletions, "at")
-    names = references.select("period").union(parents.select("period")).union(deletions.select("period")).filter("period is not null").distinct()
-    for p in sorted(r[0] for r in names.collect()):
-        now = [df.filter(F.col("period") == F.lit(p)).drop("period") for df in (references, parents, deletions)]
+    names = references.select("period").union(parents.select("period")).union(deletions.select("period")).distinct()
+    for p in sorted((r[0] for r in names.collect()), key=lambda p: (p is not None, p)):
+        now = [df.filter(F.col("period").eqNullSafe(F.lit(p))).drop("period") for df in (references, parents, deletions)]
         nxt = advance(state, *now)
         kept = OrphanState(scratch.keep(nxt.index), scratch.keep(nxt.references))
         previous, state = state, kept

@@ -26,11 +26,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
     """After each month: open and resolved orphans per table, field and load week, prunings included."""
-    references, parents = _memory(spark, folder)
+    references, _ = _memory(spark, folder)
+    parents = orphans.memory_arrivals(table(spark, folder, "anchors"), table(spark, folder, "schemas"))
     deletions = orphans.memory_deletions(table(spark, folder, "ghosts"))
     scratch, out = Scratch(spark, "p3-counts"), None
     for period, state in orphans.periods(orphans.OrphanState.empty(spark), references, parents, deletions):
-        rows = scratch.keep(orphans.snapshot(state).select(F.lit(period).alias("as_of"), "*"))
+        rows = scratch.keep(orphans.snapshot(state).select(F.lit(period).cast("timestamp").alias("as_of"), "*"))
         out = rows if out is None else out.unionByName(rows)
     return out if out is not None else orphans.snapshot(orphans.OrphanState.empty(spark)).select(F.lit(None).cast("timestamp").alias("as_of"), "*")
 

@@ -102,6 +102,29 @@ def test_periods_end_like_one_batch(spark):
     assert rows(O.snapshot(last)) == rows(O.snapshot(whole))
 
 
+def test_periods_count_rows_without_a_time(spark):
+    timed, owned, gone = [("r1", "a", 20), ("r2", None, None), ("r3", "x", None)], [("a", 50), ("y", None)], [("a", None)]
+    got = list(O.periods(O.OrphanState.empty(spark), refs(spark, timed), parents(spark, owned), parents(spark, gone), scratch=Scratch(spark, "t")))
+    assert [p for p, _ in got] == [None, datetime(2025, 1, 1), datetime(2025, 2, 1)]
+    whole = O.advance(O.OrphanState.empty(spark), refs(spark, timed), parents(spark, owned), parents(spark, gone))
+    count = lambda s: sorted(((r["period"], r["kind"], r["n"]) for r in O.snapshot(s).collect()), key=str)
+    assert count(got[-1][1]) == count(whole) and (None, "waiting", 1) in count(whole)
+
+
+def test_an_anchor_loaded_again_after_its_pruning_is_there(spark, tmp_path):
+    from mnemospark.plans.corpus import p3_counts
+
+    edges = [(1, "a", "b", at(6))]
+    anchors = [("a", None, at(1)), ("A ", None, at(70)), ("b", None, at(1)), ("b", None, at(1))]
+    spark.createDataFrame(edges, "edge_id bigint, source string, target string, loaded_at timestamp").write.parquet(f"{tmp_path}/edges.parquet")
+    spark.createDataFrame(anchors, "id string, schema_ref string, loaded_at timestamp").write.parquet(f"{tmp_path}/anchors.parquet")
+    spark.createDataFrame([], "id string, instance_ids_json string, loaded_at timestamp").write.parquet(f"{tmp_path}/schemas.parquet")
+    spark.createDataFrame([("a", at(40).timestamp())], "id string, pruned_at double").write.parquet(f"{tmp_path}/ghosts.parquet")
+    got = [(r.as_of.month, r.ref_field, r.kind, r.n) for r in p3_counts(spark, str(tmp_path)).collect()]
+    # pruned in February, loaded again in March
+    assert got == [(2, "edges.source", "reopened", 1)]
+
+
 def test_stream_sink_skips_replayed_batches(spark):
     sink = OrphanSink(O.OrphanState.empty(spark), Scratch(spark, "t"), lambda b: (b, parents(spark, []), None))
     sink(refs(spark, [("r", "k", 1)]), 0)
