@@ -126,14 +126,13 @@ def _renames(cells: DataFrame, prints: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"), F.sum((F.col("old_value") == F.col("value")).cast("long")).alias("same"))
         .filter("same = n")
     )
-    # greedy one to one over the few candidates of a file
-    best_old = W.partitionBy(*at, "old_name").orderBy(F.desc("n"), "new_name")
-    best_new = W.partitionBy(*at, "new_name").orderBy(F.desc("n"), "old_name")
-    return (
-        pairs.withColumn("r1", F.row_number().over(best_old)).filter("r1 = 1")
-        .withColumn("r2", F.row_number().over(best_new)).filter("r2 = 1")
-        .select(*at, "old_name", "new_name")
-    )
+    # greedy one to one over the few candidates of a file, until none has both names left
+    best = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("least"), "old_name", "new_name")))
+    used = lambda taken, x: F.exists(taken, lambda y: (y["old_name"] == x["old_name"]) | (y["new_name"] == x["new_name"]))
+    none = F.array().cast("array<struct<least:bigint,old_name:string,new_name:string>>")
+    matched = F.aggregate("best", none, lambda taken, x: F.when(used(taken, x), taken).otherwise(F.concat(taken, F.array(x))))
+    files = pairs.groupBy(*at).agg(best.alias("best"))
+    return files.select(*at, F.explode(matched).alias("m")).select(*at, "m.old_name", "m.new_name")
 
 
 def changes(raw: DataFrame) -> DataFrame:

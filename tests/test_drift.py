@@ -37,6 +37,13 @@ def test_each_kind_of_change(spark):
     ])
 
 
+def test_two_renames_of_fields_with_equal_values(spark):
+    df = lines(spark, [
+        ("f1", "anchor", 1, [{"id": i, "a": True, "b": True, "c": i} for i in "pq"]), ("f2", "anchor", 2, [{"id": i, "x": True, "y": True, "z": i} for i in "pq"]),
+    ])
+    assert found(df) == [("f2", "anchor", "renamed", "a", "x"), ("f2", "anchor", "renamed", "b", "y"), ("f2", "anchor", "renamed", "c", "z")]
+
+
 def test_values_that_do_not_stay_are_no_rename(spark):
     df = lines(spark, [("f1", "edge", 1, [{"source": "a", "target": "b", "w": 1}]), ("f2", "edge", 2, [{"source": "a", "target": "b", "v": 2}])])
     assert found(df) == [("f2", "edge", "added", "", "v"), ("f2", "edge", "removed", "w", "")]
