@@ -1,14 +1,16 @@
 """Schemas that drift between files (problem 5).
 
 Method: every file gets a schema fingerprint (its fields with their types).  Files of
-one store and record kind are put in order; where two neighbours' fingerprints differ,
-the steps between them are derived: a field renamed (the records of both files keep
-their values under the new name), added, removed or retyped.  The steps of a store
-are chained into the current name of every field of every file, and each file is
-routed through its chain with defaults and casts into one table per kind.
-
-Values are compared only for the fields that come or go, file against file, so the
-work is in proportion to the lines.
+one store and record kind are put in order, and equal neighbours share a version.  Only
+where the fingerprint changes are the steps between two versions derived: a field
+renamed (the records of both files keep their values under the new name), added,
+removed or retyped.  The steps are a table.  ``routes`` executes it: renames are
+chained into the column that each field of each file goes to, and every file is routed
+through its chain, with null as default for what it lacks and casts to the column's type,
+into one table per kind.  What no column takes is kept in ``extras``.
+
+Values are compared only for the fields that come or go, in the two files of the step,
+as hashes; the lines are parsed once and stored.
 """
 
 from __future__ import annotations
@@ -18,26 +20,48 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemospark.functions import notation
+from mnemospark.operators import graph
 from mnemospark.store import Scratch
 
-#: JSON type names by the beginning of what schema_of_variant says.
-_TYPES = {"STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object", "VOID": None}
+#: JSON types, each a bit of a field's type set in a file.
+TYPES = ("string", "number", "boolean", "array", "object")
 
-#: The names a field had in some file, by its name in the common table.
+#: The columns of the common tables and the stored name that each is read from.
+COLUMNS = {
+    "anchor": {
+        "id": "id", "text": "text", "tags": "tags", "created_at": "created_at", "source_session": "source_session", "replay_count": "replay_count", "state": "state",
+        "state_history": "state_history_json", "community_id": "community_id", "thermal_state": "thermal_state", "segment_id": "segment_id", "salience": "salience", "is_core": "is_core",
+    },
+    "edge": {
+        "source": "source", "target": "target", "weight": "weight", "edge_type": "edge_type", "co_activation_count": "co_activation_count", "created_at": "created_at",
+        "confidence": "confidence", "is_stale": "is_stale", "causal_strength": "causal_strength", "temporal_order": "temporal_order",
+    },
+}
+
+#: Further names by stored name, for fields that no rename ties to a known one; the queries do without.
 ALIASES = {
     "anchor": {
-        "state": ("state", "State", "status", "lifecycle", "lifecycle_state", "memory_state", "phase"),
-        "state_history": ("state_history_json", "stateHistoryJson", "state_history", "state_log", "history", "transitions"),
-        "source_session": ("source_session", "session", "session_id", "sourceSession"),
-        "replay_count": ("replay_count", "replayCount", "replays"),
+        "state": ("State", "status", "lifecycle", "lifecycle_state", "memory_state", "phase"),
+        "state_history_json": ("stateHistoryJson", "state_history", "state_log", "history", "transitions"),
+        "source_session": ("session", "session_id", "sourceSession"),
+        "replay_count": ("replayCount", "replays"),
     },
     "edge": {
-        "edge_type": ("edge_type", "edgeType", "relation", "rel", "type", "link_kind"),
-        "weight": ("weight", "w", "strength"),
-        "co_activation_count": ("co_activation_count", "coactivations", "co_count"),
+        "edge_type": ("edgeType", "relation", "rel", "type", "link_kind"),
+        "weight": ("w", "strength"),
+        "co_activation_count": ("coactivations", "co_count"),
     },
 }
 
+#: A file of a store and kind.
+FILE = ("store_name", "record_kind", "file_name")
+STORE = FILE[:2]
+
+#: Shapes of values that two names of one column must share, as a part of the rarer name's shapes.
+SHAPE_SHARE = 0.8
+#: Least hashes of shapes that are compared for each name.
+SHAPES = 256
+
 
 def valid_lines(raw: DataFrame) -> DataFrame:
     """The lines that count, as (store_name, record_kind, file_name, exported_at, line_no, record).
@@ -47,83 +71,76 @@ def valid_lines(raw: DataFrame) -> DataFrame:
     JSON object, and lines without a file name or kind, are left out.
     """
     first = F.min_by("payload", F.struct("loaded_at", "payload"))
-    lines = (
-        raw.filter("file_name is not null and record_kind is not null")
-        .groupBy("store_name", "record_kind", "file_name", "line_no")
-        .agg(first.alias("payload"), F.min("exported_at").alias("exported_at"))
-    )
-    record = F.try_parse_json("payload")
-    return (
-        lines.filter(F.col("payload").rlike(r"^\s*\{"))
-        .withColumn("record", record)
-        .filter("record is not null and schema_of_variant(record) like 'OBJECT%'")
-        .drop("payload")
-    )
+    lines = raw.filter("file_name is not null and record_kind is not null").groupBy(*FILE, "line_no").agg(first.alias("payload"), F.min("exported_at").alias("exported_at"))
+    parsed = lines.filter(F.col("payload").rlike(r"^\s*\{")).select(*FILE, "exported_at", "line_no", F.try_parse_json("payload").alias("record"))
+    return parsed.filter(F.schema_of_variant("record").startswith("OBJECT"))
 
 
-def _json_type(c: Column) -> Column:
-    name = F.regexp_extract(F.schema_of_variant(c), r"^([A-Z]+)", 1)
-    known = F.lit(None).cast("string")
-    for k, v in _TYPES.items():
-        known = F.when(name == k, F.lit(v)).otherwise(known)
-    return F.when(name.isin(*_TYPES), known).otherwise(F.lit("number"))
+def cells(lines: DataFrame) -> DataFrame:
+    """The lines with the top-level fields of each as ``fields``, a map<string, variant>."""
+    return lines.withColumn("fields", F.expr("cast(record as map<string, variant>)"))
 
 
-def cells(lines: DataFrame) -> DataFrame:
-    """One row for each top-level field of each line: field, type (null for a null value), value as JSON, text.
+def stored_lines(raw: DataFrame, scratch: Scratch) -> DataFrame:
+    """``valid_lines`` written once, with their fields."""
+    return cells(scratch.keep(valid_lines(raw)))
 
-    ``text`` is a string's own text and any other value's JSON.  A line without a field
-    gives one row with a null field.
-    """
-    view = lines.selectExpr("*", "cast(record as map<string, variant>) as fields")
-    rid = F.when(
-        F.col("record_kind") == "edge",
-        F.concat_ws("\u0001", F.expr("to_json(try_variant_get(record, '$.source', 'variant'))"), F.expr("to_json(try_variant_get(record, '$.target', 'variant'))")),
-    ).otherwise(F.expr("to_json(try_variant_get(record, '$.id', 'variant'))"))
-    return view.select("store_name", "record_kind", "file_name", "exported_at", "line_no", rid.alias("rid"), F.explode_outer("fields").alias("field", "v")).select(
-        "store_name", "record_kind", "file_name", "exported_at", "line_no", "rid", "field", _json_type(F.col("v")).alias("type"),
-        F.when(~F.is_variant_null("v"), F.to_json("v")).alias("value"),
-        F.when(~F.is_variant_null("v"), F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v"))).alias("text"),
+
+def _type_bit(v: Column) -> Column:
+    """The bit of a value's JSON type; 0 for null."""
+    name = F.schema_of_variant(v)
+    return (
+        F.when(name == "STRING", 1).when(name.startswith("OBJECT"), 16).when(name.startswith("ARRAY"), 8).when(name == "BOOLEAN", 4).when(name == "VOID", 0).otherwise(2)
     )
 
 
-def fingerprints(cells: DataFrame) -> DataFrame:
-    """The fields of each file with their types, and a hash of them as the schema's version key."""
-    per_field = cells.filter("field is not null").groupBy("store_name", "record_kind", "file_name", "field").agg(
-        F.min("exported_at").alias("exported_at"), F.array_join(F.array_sort(F.collect_set("type")), "|").alias("type")
-    )
+def type_names(bits: Column) -> Column:
+    """The names of a type set, joined by ``|``; empty if all values were null."""
+    return F.concat_ws("|", *[F.when(bits.bitwiseAND(1 << n) > 0, F.lit(t)) for n, t in enumerate(TYPES)])
+
+
+def fingerprints(lines: DataFrame) -> DataFrame:
+    """Each file's fields with their type sets, their hash, its version, and the file before it.
+
+    (store_name, record_kind, file_name, exported_at, fields, fingerprint, seq, version,
+    old_file, old_fields, old_fingerprint); files are ordered by exported_at and name.
+    A version goes on as long as the fingerprint stays.
+    """
+    each = lines.select(*FILE, "exported_at", F.explode("fields").alias("field", "v"))
+    per_field = each.groupBy(*FILE, "field").agg(F.bit_or(_type_bit(F.col("v"))).alias("type"), F.min("exported_at").alias("exported_at"))
     fields = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "type"))))
-    files = per_field.groupBy("store_name", "record_kind", "file_name").agg(F.min("exported_at").alias("exported_at"), fields.alias("fields"))
-    ordered = W.partitionBy("store_name", "record_kind").orderBy("exported_at", "file_name")
-    return files.select(
-        "*", F.sha2(F.to_json("fields"), 256).alias("fingerprint"), F.row_number().over(ordered).alias("version"),
-        F.lag("file_name").over(ordered).alias("old_file"), F.lag("fields").over(ordered).alias("old_fields"),
+    files = per_field.groupBy(*FILE).agg(F.min("exported_at").alias("exported_at"), fields.alias("fields")).withColumn("fingerprint", F.sha2(F.to_json("fields"), 256))
+    ordered = W.partitionBy(*STORE).orderBy("exported_at", "file_name")
+    before = files.select(
+        "*", F.row_number().over(ordered).alias("seq"), F.lag("file_name").over(ordered).alias("old_file"), F.lag("fields").over(ordered).alias("old_fields"),
+        F.lag("fingerprint").over(ordered).alias("old_fingerprint"),
     )
+    changed = F.coalesce(F.col("fingerprint") != F.col("old_fingerprint"), F.lit(True)).cast("int")
+    return before.withColumn("version", F.sum(changed).over(ordered))
 
 
-def _renames(cells: DataFrame, prints: DataFrame) -> DataFrame:
-    """(store_name, record_kind, file_name, old_name, new_name): one to one, best kept first.
+def _renames(lines: DataFrame, changed: DataFrame) -> DataFrame:
+    """(store_name, record_kind, file_name, renames): old and new names, one to one, best kept first.
 
     A name that goes and one that comes are the same field if every record that has a
     value under both in the two files keeps it, and there is at least one such record.
+    Of a record that a file holds more than once the least hash of its values counts.
     """
-    at = ["store_name", "record_kind", "file_name"]
-    moved = prints.filter("old_file is not null").select(
-        *at, "old_file",
-        F.array_except(F.map_keys("old_fields"), F.map_keys("fields")).alias("gone"),
-        F.array_except(F.map_keys("fields"), F.map_keys("old_fields")).alias("came"),
-    ).filter("size(gone) > 0 and size(came) > 0")
-    filled = cells.filter("value is not null and rid is not null").select(*at, "rid", "field", "value")
-    # of a record that a file holds more than once the least value counts
-    filled = filled.groupBy(*at, "rid", "field").agg(F.min("value").alias("value"))
-    gone = moved.select("store_name", "record_kind", F.col("old_file"), "file_name", F.explode("gone").alias("old_name"))
-    came = moved.select(*at, F.explode("came").alias("new_name"))
-    old = gone.join(filled.toDF("store_name", "record_kind", "old_file", "rid", "old_name", "old_value"), ["store_name", "record_kind", "old_file", "old_name"])
-    new = came.join(filled.withColumnRenamed("field", "new_name"), [*at, "new_name"])
+    moved = changed.filter("size(gone) > 0 and size(came) > 0")
+    side = lambda file, names, old: moved.select(*STORE, F.col(file).alias("file_name"), F.col("file_name").alias("to_file"), F.col(names).alias("names"), F.lit(old).alias("old"))
+    wanted = side("old_file", "gone", True).unionByName(side("file_name", "came", False))
+    id_of = lambda *names: F.concat(*[x for n in names for x in (F.expr(f"to_json(try_variant_get(record, '$.{n}', 'variant'))"), F.lit("\u0001"))])
+    rid = F.when(F.col("record_kind") == "edge", id_of("source", "target")).otherwise(id_of("id"))
+    held = F.map_filter("fields", lambda k, v: F.array_contains("names", k) & ~F.is_variant_null(v))
+    at = [*STORE, "to_file", "rid"]
+    values = lines.join(wanted, [*FILE]).select(*STORE, "to_file", rid.alias("rid"), "old", F.explode(held).alias("field", "v")).filter("rid is not null")
+    values = values.select(*at, "old", "field", F.xxhash64(F.to_json("v")).alias("h")).repartition(*at)
+    once = values.groupBy(*at, "old", "field").agg(F.min("h").alias("h"))
+    of = lambda old: F.collect_list(F.when(F.col("old") == F.lit(old), F.struct("field", "h")))
+    sides = once.groupBy(*at).agg(of(True).alias("olds"), of(False).alias("news")).select(*at, F.explode("olds").alias("o"), "news").select(*at, "o", F.explode("news").alias("n"))
     pairs = (
-        old.join(new, [*at, "rid"])
-        .groupBy(*at, "old_name", "new_name")
-        .agg(F.count("*").alias("n"), F.sum((F.col("old_value") == F.col("value")).cast("long")).alias("same"))
+        sides.groupBy(*STORE, F.col("to_file").alias("file_name"), F.col("o.field").alias("old_name"), F.col("n.field").alias("new_name"))
+        .agg(F.count("*").alias("n"), F.sum((F.col("o.h") == F.col("n.h")).cast("long")).alias("same"))
         .filter("same = n")
     )
     # greedy one to one over the few candidates of a file, until none has both names left
@@ -131,38 +148,51 @@ def _renames(cells: DataFrame, prints: DataFrame) -> DataFrame:
     used = lambda taken, x: F.exists(taken, lambda y: (y["old_name"] == x["old_name"]) | (y["new_name"] == x["new_name"]))
     none = F.array().cast("array<struct<least:bigint,old_name:string,new_name:string>>")
     matched = F.aggregate("best", none, lambda taken, x: F.when(used(taken, x), taken).otherwise(F.concat(taken, F.array(x))))
-    files = pairs.groupBy(*at).agg(best.alias("best"))
-    return files.select(*at, F.explode(matched).alias("m")).select(*at, "m.old_name", "m.new_name")
+    return pairs.groupBy(*FILE).agg(best.alias("best")).select(*FILE, matched.alias("renames"))
 
 
-def changes(raw: DataFrame) -> DataFrame:
-    """Every change of a field between a file and the nearest earlier one of its store and kind.
+def steps(lines: DataFrame, prints: DataFrame) -> DataFrame:
+    """The migration steps: every change between a file and the one before it, with the rule it stands for.
 
-    (store_name, file_name, record_kind, change_kind, old_name, new_name); change_kind is
-    renamed, added, removed or retyped.  A field whose values are all null in either file
-    has no type there and is not retyped.  Empty input gives an empty result.
+    (store_name, record_kind, file_name, seq, from_version, to_version, change_kind,
+    old_name, new_name, old_type, new_type).  A field whose values are all null in
+    either file has no type there and is not retyped.
     """
-    at = ["store_name", "record_kind", "file_name"]
-    all_cells = cells(valid_lines(raw))
-    prints = fingerprints(all_cells).filter("old_file is not null")
-    renamed = _renames(all_cells, prints)
-    gone = prints.select(*at, F.explode(F.array_except(F.map_keys("old_fields"), F.map_keys("fields"))).alias("old_name")).join(renamed, [*at, "old_name"], "left_anti")
-    came = prints.select(*at, F.explode(F.array_except(F.map_keys("fields"), F.map_keys("old_fields"))).alias("new_name")).join(renamed, [*at, "new_name"], "left_anti")
-    both = prints.select(*at, "fields", "old_fields", F.explode(F.array_intersect(F.map_keys("fields"), F.map_keys("old_fields"))).alias("field"))
-    new_type, old_type = F.col("fields")[F.col("field")], F.col("old_fields")[F.col("field")]
-    retyped = both.filter((new_type != "") & (old_type != "") & (new_type != old_type))
-    row = lambda df, kind, old, new: df.select(*at, F.lit(kind).alias("change_kind"), old.alias("old_name"), new.alias("new_name"))
+    keys = lambda c: F.map_keys(c)
+    changed = prints.filter("old_fingerprint != fingerprint").withColumns(
+        {"gone": F.array_except(keys("old_fields"), keys("fields")), "came": F.array_except(keys("fields"), keys("old_fields"))}
+    )
+    done = changed.join(_renames(lines, changed), list(FILE), "left")
+    c = F.col
+    left = lambda names, side: F.filter(names, lambda x: ~F.coalesce(F.exists("renames", lambda r: r[side] == x), F.lit(False)))
+    row = lambda kind, old, new: F.struct(F.lit(kind).alias("change_kind"), old.alias("old_name"), new.alias("new_name"))
     none = F.lit("")
-    return (
-        row(renamed, "renamed", F.col("old_name"), F.col("new_name"))
-        .unionByName(row(gone, "removed", F.col("old_name"), none))
-        .unionByName(row(came, "added", none, F.col("new_name")))
-        .unionByName(row(retyped, "retyped", F.col("field"), F.col("field")))
+    both = F.filter(keys("fields"), lambda x: (c("fields")[x] > 0) & (F.coalesce(c("old_fields")[x], F.lit(0)) > 0) & (c("old_fields")[x] != c("fields")[x]))
+    rows = F.concat(
+        F.coalesce(F.transform("renames", lambda r: row("renamed", r["old_name"], r["new_name"])), F.array().cast("array<struct<change_kind:string,old_name:string,new_name:string>>")),
+        F.transform(left("gone", "old_name"), lambda x: row("removed", x, none)), F.transform(left("came", "new_name"), lambda x: row("added", none, x)),
+        F.transform(both, lambda x: row("retyped", x, x)),
+    )
+    out = done.select(*FILE, "seq", F.col("version").alias("to_version"), "old_fields", "fields", F.explode(rows).alias("s"))
+    return out.select(
+        *FILE, "seq", (c("to_version") - 1).alias("from_version"), "to_version", "s.change_kind", "s.old_name", "s.new_name",
+        F.coalesce(type_names(c("old_fields")[c("s.old_name")]), none).alias("old_type"), F.coalesce(type_names(c("fields")[c("s.new_name")]), none).alias("new_type"),
     )
 
 
+def changes(raw: DataFrame) -> DataFrame:
+    """Every change of a field between a file and the nearest earlier one of its store and kind.
+
+    ``steps`` of the valid lines; change_kind is renamed, added, removed or retyped.
+    Empty input gives an empty result.
+    """
+    scratch = Scratch(raw.sparkSession, "drift")
+    lines = stored_lines(raw, scratch)
+    return steps(lines, scratch.keep(fingerprints(lines)))
+
+
 def migration_steps(changes: DataFrame) -> DataFrame:
-    """The changes with the explicit step each stands for: rename, default, drop or cast."""
+    """The changes with the rule each stands for in words: rename, default, drop or cast."""
     step = (
         F.when(F.col("change_kind") == "renamed", F.concat(F.lit("rename "), "old_name", F.lit(" to "), "new_name"))
         .when(F.col("change_kind") == "added", F.concat(F.lit("default "), "new_name", F.lit(" to null before")))
@@ -172,33 +202,32 @@ def migration_steps(changes: DataFrame) -> DataFrame:
     return changes.withColumn("step", step)
 
 
-def _alias(kind: Column, name: Column) -> Column:
-    """The common table's name for a known name; null for others."""
+def _known(kind: Column, name: Column, aliases: dict | None) -> Column:
+    """The stored name of a column for a name that is one, or that ``aliases`` lists; null for others."""
     out = F.lit(None).cast("string")
-    for k, fields in ALIASES.items():
-        for target, names in fields.items():
+    for k, columns in COLUMNS.items():
+        out = F.when((kind == k) & name.isin(*columns.values()), name).otherwise(out)
+        for target, names in (aliases or {}).get(k, {}).items():
             out = F.when((kind == k) & name.isin(*names), F.lit(target)).otherwise(out)
     return out
 
 
-def routes(all_cells: DataFrame, scratch: Scratch) -> DataFrame:
-    """(store_name, record_kind, file_name, field, target): where each field of each file goes in the common table.
+def _lives(prints: DataFrame, done: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each field of each file with the chain of renames that it belongs to.
 
-    A name's life within a store starts in the file where it comes.  A rename ties the
-    new life to the old one; the ties are chained back to the first life by pointer
-    jumping.  All lives of a chain go to one target: a common name that any of them is
-    known by, else the chain's first name.
+    (store_name, record_kind, file_name, field, root, root_start, reused).  A name's life
+    within a store starts in the file where it comes; a rename step ties the new life to
+    the old one, and the ties are chained back to the first life by pointer jumping.
+    ``reused`` says that the chain began under a name that had been renamed away.
     """
-    at = ["store_name", "record_kind"]
-    prints = scratch.keep(fingerprints(all_cells))
-    renamed = _renames(all_cells, prints).join(prints.select(*at, "file_name", "version"), [*at, "file_name"])
-    seen = prints.select(*at, "file_name", "version", F.explode(F.map_keys("fields")).alias("field"))
-    by_name = W.partitionBy(*at, "field").orderBy("version")
-    fresh = F.coalesce(F.lag("version").over(by_name) != F.col("version") - 1, F.lit(True))
-    lives = scratch.keep(seen.withColumn("start", F.when(fresh, F.col("version"))).withColumn("start", F.last("start", True).over(by_name)))
-    old_life = lives.select(*at, F.col("field").alias("old_name"), (F.col("version") + 1).alias("version"), F.col("start").alias("old_start"))
-    tie = renamed.join(old_life, [*at, "old_name", "version"])
-    ties = scratch.keep(tie.select(*at, F.col("new_name").alias("field"), F.col("version").alias("start"), F.col("old_name").alias("root"), F.col("old_start").alias("root_start")))
+    at = list(STORE)
+    seen = prints.select(*at, "file_name", "seq", F.explode(F.map_keys("fields")).alias("field"))
+    by_name = W.partitionBy(*at, "field").orderBy("seq")
+    fresh = F.coalesce(F.lag("seq").over(by_name) != F.col("seq") - 1, F.lit(True))
+    lives = scratch.keep(seen.withColumn("start", F.when(fresh, F.col("seq"))).withColumn("start", F.last("start", True).over(by_name)))
+    old_life = lives.select(*at, F.col("field").alias("old_name"), (F.col("seq") + 1).alias("seq"), F.col("start").alias("old_start"))
+    tie = done.filter("change_kind = 'renamed'").join(old_life, [*at, "old_name", "seq"])
+    ties = first = scratch.keep(tie.select(*at, F.col("new_name").alias("field"), F.col("seq").alias("start"), F.col("old_name").alias("root"), F.col("old_start").alias("root_start")))
     while True:
         onward = ties.select(*at, F.col("field").alias("root"), F.col("start").alias("root_start"), F.col("root").alias("further"), F.col("root_start").alias("further_start"))
         jumped = scratch.keep(
@@ -209,23 +238,79 @@ def routes(all_cells: DataFrame, scratch: Scratch) -> DataFrame:
         ties = jumped.drop("moved")
         if jumped.filter("moved").isEmpty():
             break
+    left = first.groupBy(*at, F.col("root").alias("left_name")).agg(F.min("start").alias("left_at"))
     rooted = lives.join(ties, [*at, "field", "start"], "left").select(
-        *at, "file_name", "field", F.coalesce("root", "field").alias("root"), F.coalesce("root_start", "start").alias("root_start"), _alias(F.col("record_kind"), F.col("field")).alias("known")
+        *at, "file_name", "field", F.coalesce("root", "field").alias("root"), F.coalesce("root_start", "start").alias("root_start")
     )
-    target = rooted.groupBy(*at, "root", "root_start").agg(F.coalesce(F.min("known"), F.first("root")).alias("target"))
-    return rooted.join(target, [*at, "root", "root_start"]).select(*at, "file_name", "field", "target")
+    gone = rooted.join(left.withColumnRenamed("left_name", "root"), [*at, "root"], "left")
+    return gone.select(*at, "file_name", "field", "root", "root_start", F.coalesce(F.col("left_at") < F.col("root_start"), F.lit(False)).alias("reused"))
 
 
-def _routed(raw: DataFrame, kind: str, columns: list[str]) -> DataFrame:
-    """The valid lines of a kind with the text of each column of the common table; what a file lacks is null.
+def _alike(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """(record_kind, a, b): names that no file has side by side and whose values have the same shapes.
 
-    Of two fields of a line that go to one column the greater text counts.
+    A shape is a value's JSON with every number as ``#``; shapes without a letter say
+    nothing.  Compared are the least ``SHAPES`` hashes of each name: at least
+    ``SHAPE_SHARE`` of those of the name with fewer must be among the other's.
+    """
+    values = lines.select("record_kind", F.explode("fields").alias("field", "v")).filter(~F.is_variant_null("v"))
+    shape = F.regexp_replace(F.to_json("v"), r"[0-9]+(?:\.[0-9]+)?", "#")
+    shapes = values.select("record_kind", "field", shape.alias("s")).filter(F.col("s").rlike("[A-Za-z]{3}") & ~F.col("s").isin("true", "false"))
+    each = shapes.select("record_kind", "field", F.xxhash64("s").alias("h")).distinct()
+    low = each.withColumn("r", F.row_number().over(W.partitionBy("record_kind", "field").orderBy("h"))).filter(F.col("r") <= SHAPES)
+    sizes = low.groupBy("record_kind", "field").agg(F.count("*").alias("size"), F.max("h").alias("top"))
+    a, b = (low.select("record_kind", "h", F.col("field").alias(x)) for x in "ab")
+    common = a.join(b, ["record_kind", "h"]).filter("a < b").groupBy("record_kind", "a", "b").agg(F.count("*").alias("n"))
+    of = lambda x: sizes.select("record_kind", F.col("field").alias(x), F.col("size").alias(f"size_{x}"))
+    likely = common.join(of("a"), ["record_kind", "a"]).join(of("b"), ["record_kind", "b"]).filter(F.col("n") >= SHAPE_SHARE * F.least("size_a", "size_b"))
+    x, y = (names.select(*FILE, F.col("field").alias(n)).distinct() for n in "ab")
+    beside = x.join(y, list(FILE)).filter("a < b").select("record_kind", "a", "b").distinct()
+    return likely.join(beside, ["record_kind", "a", "b"], "left_anti").select("record_kind", "a", "b")
+
+
+def routes(lines: DataFrame, scratch: Scratch, aliases: dict | None = ALIASES) -> DataFrame:
+    """(store_name, record_kind, file_name, field, target): where each field of each file goes in the common table.
+
+    The renames of a store are chained (``_lives``).  Across stores, names are one column
+    if a rename of any store ties them or their values are alike.  A chain goes to the
+    column that one of its names or of the names tied to them is the stored name of, else
+    to the name that most files have.  A name that was renamed away and comes anew is
+    another field and keeps its name.  ``aliases`` adds names known beforehand.
+    """
+    prints = scratch.keep(fingerprints(lines))
+    done = scratch.keep(steps(lines, prints))
+    lives = scratch.keep(_lives(prints, done, scratch))
+    tied = done.filter("change_kind = 'renamed'").select("record_kind", F.col("old_name").alias("a"), F.col("new_name").alias("b"))
+    node = lambda c: F.concat_ws("\u0001", "record_kind", c)
+    links = scratch.keep(tied.unionByName(_alike(lines, lives)).select(node("a").alias("lo"), node("b").alias("hi")).distinct())
+    groups = scratch.keep(graph.components(links).select(F.col("node").alias("name"), "component"))
+    names = lives.filter("not reused").groupBy("record_kind", "field").agg(F.count("*").alias("n")).withColumn("name", node("field"))
+    named = names.join(groups, "name", "left").withColumn("component", F.coalesce("component", "name")).withColumn("known", _known(F.col("record_kind"), F.col("field"), aliases))
+    most = F.max_by("field", F.struct("n", "field"))
+    column = named.groupBy("component").agg(F.coalesce(F.max_by("known", F.when(F.col("known").isNotNull(), F.col("n"))), most).alias("column"))
+    targets = scratch.keep(named.join(column, "component").select("record_kind", "field", F.coalesce("known", "column").alias("column")))
+    rooted = lives.join(targets.withColumnRenamed("field", "root"), ["record_kind", "root"], "left")
+    target = F.when(F.col("reused"), F.col("root")).otherwise(F.coalesce("column", "root"))
+    return rooted.select(*FILE, "field", target.alias("target"))
+
+
+def _routed(raw: DataFrame, kind: str, aliases: dict | None) -> DataFrame:
+    """The valid lines of a kind with the text of each column of the common table and the map ``extras``.
+
+    ``extras`` holds what no column takes, by name.  What a file lacks is null.  Of two
+    fields of a line that go to one name the greater text counts.
     """
     scratch = Scratch(raw.sparkSession, "drift")
-    own = scratch.keep(cells(valid_lines(raw).filter(F.col("record_kind") == kind)))
-    line = ["store_name", "record_kind", "file_name", "exported_at", "line_no"]
-    to = own.join(routes(own, scratch), ["store_name", "record_kind", "file_name", "field"], "left")
-    return to.groupBy(*line).agg(*[F.max(F.when(F.col("target") == c, F.col("text"))).alias(c) for c in columns])
+    own = stored_lines(raw.filter(F.col("record_kind") == kind), scratch)
+    by_file = scratch.keep(routes(own, scratch, aliases).groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("field", "target"))).alias("route")))
+    text = lambda v: F.when(~F.is_variant_null(v), F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
+    entry = lambda e: F.struct(F.col("route")[e["key"]].alias("key"), text(e["value"]).alias("value"))
+    lines = own.join(by_file, list(FILE), "left").withColumn("cells", F.array_sort(F.transform(F.map_entries("fields"), entry)))
+    last = lambda x, i: F.coalesce(F.get("cells", i + 1)["key"] != x["key"], F.lit(True))
+    routed = lines.withColumn("cells", F.map_from_entries(F.filter("cells", last)))
+    columns = COLUMNS[kind]
+    extras = F.map_filter("cells", lambda k, v: ~k.isin(*columns.values()))
+    return routed.select("store_name", "file_name", "exported_at", "line_no", *[F.col("cells")[stored].alias(c) for c, stored in columns.items()], extras.alias("extras"))
 
 
 def history(c: Column | str) -> Column:
@@ -245,35 +330,32 @@ def history(c: Column | str) -> Column:
     return F.coalesce(F.transform(F.transform(found, one), seconds), F.array().cast("array<struct<state:string,at:double>>"))
 
 
-def anchors_table(raw: DataFrame) -> DataFrame:
+def anchors_table(raw: DataFrame, aliases: dict | None = ALIASES) -> DataFrame:
     """The anchors of all files in one table, each file routed by its renames, with defaults and casts.
 
     One row for each valid line; values that cannot be cast are null.
     """
-    names = ["id", "text", "tags", "created_at", "source_session", "replay_count", "state", "state_history", "community_id", "thermal_state", "segment_id", "salience", "is_core"]
     c = F.col
-    return _routed(raw, "anchor", names).select(
+    return _routed(raw, "anchor", aliases).select(
         "store_name", "file_name", "exported_at", "line_no", notation.key("id").alias("id"), "text", notation.tags("tags").alias("tags"),
         c("created_at").try_cast("double").alias("created_at"), "source_session", c("replay_count").try_cast("double").cast("bigint").alias("replay_count"),
         notation.state("state").alias("state"), history("state_history").alias("state_history"), "community_id", "thermal_state", "segment_id",
-        c("salience").try_cast("double").alias("salience"), c("is_core").try_cast("boolean").alias("is_core"),
+        c("salience").try_cast("double").alias("salience"), c("is_core").try_cast("boolean").alias("is_core"), "extras",
     )
 
 
-def edges_table(raw: DataFrame) -> DataFrame:
+def edges_table(raw: DataFrame, aliases: dict | None = ALIASES) -> DataFrame:
     """The edges of all files in one table, each file routed by its renames, with defaults and casts.
 
     One row for each valid line; values that cannot be cast are null.
     """
-    names = ["source", "target", "weight", "edge_type", "co_activation_count", "created_at", "confidence", "is_stale", "causal_strength", "temporal_order"]
     c = F.col
-    routed = _routed(raw, "edge", names)
-    return routed.select(
+    return _routed(raw, "edge", aliases).select(
         "store_name", "file_name", "exported_at", "line_no", notation.key("source").alias("source"), notation.key("target").alias("target"),
         c("weight").try_cast("double").alias("weight"), notation.edge_types("edge_type").alias("edge_types"),
         c("co_activation_count").try_cast("double").cast("bigint").alias("co_activation_count"), c("created_at").try_cast("double").alias("created_at"),
         c("confidence").try_cast("double").alias("confidence"), c("is_stale").try_cast("boolean").alias("is_stale"),
-        c("causal_strength").try_cast("double").alias("causal_strength"), "temporal_order",
+        c("causal_strength").try_cast("double").alias("causal_strength"), "temporal_order", "extras",
     )
 
 

@@ -47,19 +47,19 @@ def p5_steps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_anchors(spark: SparkSession, folder: str) -> DataFrame:
-    """The anchors of all exported files in one table."""
-    return drift.anchors_table(table(spark, folder, "raw_exports"))
+    """The anchors of all exported files in one table; names are tied by renames and values alone."""
+    return drift.anchors_table(table(spark, folder, "raw_exports"), None)
 
 
 def p5_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """The edges of all exported files in one table."""
-    return drift.edges_table(table(spark, folder, "raw_exports"))
+    """The edges of all exported files in one table; names are tied by renames and values alone."""
+    return drift.edges_table(table(spark, folder, "raw_exports"), None)
 
 
 def p5_routes(spark: SparkSession, folder: str) -> DataFrame:
     """Where each field of each exported file goes in the common tables."""
     scratch = Scratch(spark, "p5-routes")
-    return drift.routes(scratch.keep(drift.cells(drift.valid_lines(table(spark, folder, "raw_exports")))), scratch)
+    return drift.routes(drift.stored_lines(table(spark, folder, "raw_exports"), scratch), scratch, None)
 
 
 def p5_states(spark: SparkSession, folder: str) -> DataFrame:
