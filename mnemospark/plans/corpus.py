@@ -87,8 +87,46 @@ refs AS (SELECT DISTINCT * FROM (
 known AS (SELECT 'anchors' AS target, * FROM anchor_first UNION ALL SELECT 'schemas', * FROM schema_first)"""
 
 
+_DRIFT = """lines AS MATERIALIZED (SELECT * EXCLUDE (rn, first_export), first_export AS exported_at FROM (SELECT store_name, record_kind, file_name, line_no, payload,
+    min(exported_at) OVER l AS first_export, row_number() OVER (PARTITION BY store_name, record_kind, file_name, line_no ORDER BY loaded_at, payload) AS rn
+    FROM raw_exports WHERE file_name IS NOT NULL AND record_kind IS NOT NULL WINDOW l AS (PARTITION BY store_name, record_kind, file_name, line_no))
+    WHERE rn = 1 AND json_valid(payload) AND json_type(payload) = 'OBJECT'),
+values_ AS MATERIALIZED (SELECT *, json_extract(payload, '$."' || field || '"') AS v FROM (SELECT *, unnest(json_keys(payload)) AS field FROM lines)),
+typed AS MATERIALIZED (SELECT *, CASE WHEN v IS NULL OR json_type(v) = 'NULL' THEN NULL WHEN json_type(v) = 'VARCHAR' THEN 'string' WHEN json_type(v) = 'BOOLEAN' THEN 'boolean'
+    WHEN json_type(v) = 'ARRAY' THEN 'array' WHEN json_type(v) = 'OBJECT' THEN 'object' ELSE 'number' END AS t,
+    CASE WHEN record_kind = 'edge' THEN json_extract(payload, '$.source')::VARCHAR || chr(1) || json_extract(payload, '$.target')::VARCHAR ELSE json_extract(payload, '$.id')::VARCHAR END AS rid FROM values_),
+fields AS MATERIALIZED (SELECT store_name, record_kind, file_name, field, coalesce(string_agg(DISTINCT t, '|' ORDER BY t), '') AS t, min(exported_at) AS first_at FROM typed GROUP BY ALL),
+files AS MATERIALIZED (SELECT *, row_number() OVER w AS seq, lag(file_name) OVER w AS old_file, lag(print) OVER w AS old_print FROM
+    (SELECT store_name, record_kind, file_name, min(first_at) AS first_at, string_agg(field || ':' || t, ',' ORDER BY field) AS print FROM fields GROUP BY 1, 2, 3)
+    WINDOW w AS (PARTITION BY store_name, record_kind ORDER BY first_at, file_name)),
+versions AS MATERIALIZED (SELECT *, sum(CASE WHEN old_print = print THEN 0 ELSE 1 END) OVER (PARTITION BY store_name, record_kind ORDER BY seq)::BIGINT AS version FROM files),
+old_fields AS (SELECT f.*, o.field, o.t FROM files f JOIN fields o ON o.store_name = f.store_name AND o.record_kind = f.record_kind AND o.file_name = f.old_file),
+new_fields AS (SELECT f.*, o.field, o.t FROM files f JOIN fields o USING (store_name, record_kind, file_name) WHERE old_file IS NOT NULL),
+gone AS MATERIALIZED (SELECT * FROM old_fields ANTI JOIN new_fields USING (store_name, record_kind, file_name, field)),
+came AS MATERIALIZED (SELECT * FROM new_fields ANTI JOIN old_fields USING (store_name, record_kind, file_name, field)),
+held AS MATERIALIZED (SELECT store_name, record_kind, file_name, rid, field, min(v::VARCHAR) AS v FROM typed WHERE t IS NOT NULL AND rid IS NOT NULL GROUP BY ALL),
+pairs AS MATERIALIZED (SELECT g.store_name, g.record_kind, g.file_name, g.field AS old_name, c.field AS new_name, count(*) AS n
+    FROM gone g JOIN came c USING (store_name, record_kind, file_name)
+    JOIN held o ON o.store_name = g.store_name AND o.record_kind = g.record_kind AND o.file_name = g.old_file AND o.field = g.field
+    JOIN held w ON w.store_name = g.store_name AND w.record_kind = g.record_kind AND w.file_name = g.file_name AND w.field = c.field AND w.rid = o.rid
+    GROUP BY ALL HAVING count(*) = count(*) FILTER (o.v = w.v)),
+renamed AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_name, record_kind, file_name, old_name ORDER BY n DESC, new_name) AS a,
+    row_number() OVER (PARTITION BY store_name, record_kind, file_name, new_name ORDER BY n DESC, old_name) AS b FROM pairs) WHERE a = 1 AND b = 1),
+found AS (SELECT store_name, record_kind, file_name, 'renamed' AS change_kind, old_name, new_name FROM renamed
+    UNION ALL SELECT g.store_name, g.record_kind, g.file_name, 'removed', g.field, '' FROM gone g ANTI JOIN renamed r ON r.store_name = g.store_name AND r.record_kind = g.record_kind AND r.file_name = g.file_name AND r.old_name = g.field
+    UNION ALL SELECT c.store_name, c.record_kind, c.file_name, 'added', '', c.field FROM came c ANTI JOIN renamed r ON r.store_name = c.store_name AND r.record_kind = c.record_kind AND r.file_name = c.file_name AND r.new_name = c.field
+    UNION ALL SELECT store_name, record_kind, file_name, 'retyped', field, field FROM new_fields n JOIN old_fields o USING (store_name, record_kind, file_name, field) WHERE n.t <> '' AND o.t <> '' AND n.t <> o.t)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": f"""WITH {_REFS} SELECT DISTINCT ref_field, record_key, missing_key FROM refs
             LEFT JOIN known ON known.target = refs.target AND known.k = refs.missing_key WHERE known.k IS NULL OR known.first_at > refs.seen_at""",
+        "p5_found": f"WITH {_DRIFT} SELECT file_name, record_kind, change_kind, old_name, new_name FROM found",
+        "p5_steps": f"""WITH {_DRIFT} SELECT found.*, seq, version - 1 AS from_version, version AS to_version,
+            coalesce((SELECT t FROM fields f WHERE f.store_name = v.store_name AND f.record_kind = v.record_kind AND f.file_name = v.old_file AND f.field = old_name), '') AS old_type,
+            coalesce((SELECT t FROM fields f WHERE f.store_name = v.store_name AND f.record_kind = v.record_kind AND f.file_name = v.file_name AND f.field = new_name), '') AS new_type,
+            CASE change_kind WHEN 'renamed' THEN 'rename ' || old_name || ' to ' || new_name WHEN 'added' THEN 'default ' || new_name || ' to null before'
+                WHEN 'removed' THEN 'keep ' || old_name || ' as null after' ELSE 'cast ' || new_name END AS step
+            FROM found JOIN versions v USING (store_name, record_kind, file_name)""",
     }

@@ -118,3 +118,25 @@ def test_stored_notations(spark):
     assert got == {"a": ("rehearsing", 1), None: (None, 0)}
     e = spark.createDataFrame([(1, "Caused By"), (1, "Caused By"), (2, None)], "edge_id bigint, edge_type string")
     assert sorted((r.edge_id, r.edge_types) for r in D.edge_relations(e).collect()) == [(1, ["caused_by"]), (2, [])]
+
+
+def test_unknown_names_are_tied_across_stores_and_unknown_fields_kept(spark):
+    # one store renames weight to heft; another has only ever had heft, and a field that no column takes
+    one = lines(spark, [("f1", "edge", 1, [{"source": "a", "target": "b", "weight": 0.5}]), ("f2", "edge", 2, [{"source": "a", "target": "b", "heft": 0.5}])])
+    other = lines(spark, [("g1", "edge", 1, [{"source": "c", "target": "d", "heft": "0.25", "zeal": [1, 2], "hue": None}])]).replace("s", "t", "store_name")
+    rows = {r.file_name: r for r in D.edges_table(one.unionByName(other), None).collect()}
+    assert [rows[f].weight for f in ("f1", "f2", "g1")] == [0.5, 0.5, 0.25]
+    assert rows["g1"].extras == {"zeal": "[1,2]", "hue": None} and rows["f1"].extras == {}
+
+
+def test_names_of_alike_values_are_one_column(spark):
+    state = lambda n: [{"id": f"a{i}", n: f"MemoryState.{w}"} for i, w in enumerate(("ACTIVE", "GHOST", "DORMANT"))]
+    df = lines(spark, [("f1", "anchor", 1, state("state"))]).unionByName(lines(spark, [("g1", "anchor", 1, state("condition"))]).replace("s", "t", "store_name"))
+    assert [r.state for r in D.anchors_table(df, None).orderBy("file_name", "id").collect()] == ["active", "ghost", "dormant"] * 2
+
+
+def test_versions_go_on_while_the_fingerprint_stays(spark):
+    df = lines(spark, [(f"f{n}", "anchor", n, [{"id": "a", ("x" if n < 3 else "y"): 1}]) for n in range(5)])
+    prints = D.fingerprints(D.cells(D.valid_lines(df))).orderBy("seq").collect()
+    assert [r.version for r in prints] == [1, 1, 1, 2, 2] and prints[0].fingerprint == prints[2].fingerprint != prints[3].fingerprint
+    assert [(r.from_version, r.to_version, r.change_kind) for r in D.changes(df).collect()] == [(1, 2, "renamed")]
