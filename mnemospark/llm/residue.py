@@ -1,15 +1,21 @@
 """Template residue and error-page text (problem 8).
 
 Method: lines are normalised and counted by host (the document's source); lines that
-recur among a share of a host's distinct texts are its boilerplate and are subtracted.  What remains
-of a document is excluded if it has error, filler or script-required evidence and no
-content beside it; a slot that was not filled counts wherever it stands in prose.
-
-A recurring line is only subtracted if it carries no evidence itself: the same error
-message on many pages of a host is what is looked for.  Evidence is read sentence by
-sentence and must be the whole sentence, so a text that speaks about an error page, or
-quotes code, has none.  Texts stay where they are read: only hashes of lines, and the
-few unexplained lines of documents with evidence, are shuffled.
+recur among a share of a host's distinct texts are its boilerplate and are subtracted
+from every document first.  Only the residual is read: a document is excluded if its
+residual has error, filler or script-required evidence and no content beside it; a slot
+that was not filled counts wherever it stands in the residual's prose.
+
+A recurring line is only subtracted if it carries no evidence and no slot itself: the
+same error message on many pages of a host is what is looked for.  Marks of code are not
+subtracted either, so that code stays code.  Evidence is read sentence by sentence and
+must be the whole sentence, so a text that speaks about an error page, or quotes code,
+has none; reading ends as soon as there is more content than furniture may have.
+
+The boilerplate of a host is one row, at most lines-per-text / ``SHARE`` hashes, so the
+lines are marked in a join of documents with hosts.  Spark broadcasts the hosts while
+they are small, so texts stay where they are read; beyond that the join is sorted and
+adaptive execution splits the documents of a large host.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from mnemospark.functions.notation import key
 from mnemospark.store import Scratch
@@ -29,10 +36,10 @@ from mnemospark.store import Scratch
 RECURRENT = 5
 #: and this share of them, so that it does not depend on the size of the corpus.
 SHARE = 0.02
-#: Longest line that can be boilerplate.
-LINE_CHARS = 160
 #: Characters of unexplained text that a title or page furniture may have.
 FURNITURE_CHARS = 60
+#: Longest sentence that is compared with the messages, which are shorter; longer ones can only be invented Latin or repetition.
+SENTENCE_CHARS = 1_000
 
 # ---------------------------------------------------------------- slots
 
@@ -54,7 +61,7 @@ _SLOT = re.compile(
             r"\[\[\s*" + _NAME + r"\s*\]\]",
             r"\[(?:INSERT|insert|Insert|YOUR|your|Your|ENTER|Enter|TODO|ADD|Add)\s+[^\]\[\n]{1,40}\]",
             r"<(?:insert|INSERT|your|YOUR|enter|ENTER)\s+[^<>\n]{1,40}>",
-            r"<(?:[A-Z][A-Z]*_[A-Z_]*|[A-Z]{3,})>(?!.*</)",
+            r"<(?:[A-Z][A-Z]*_[A-Z_]*|[A-Z]{3,})>(?!.{0,200}</)",
             r"<[^\x00-\x7f\s<>]{1,12}>",
             r"(?<![\w_])__[A-Z][A-Z_0-9]*__(?![\w_])",
             r"(?<![\w_])__[^\x00-\x7f_]{1,12}__",
@@ -74,10 +81,15 @@ _NO_SLOT = re.compile(
 # words that say that a template is spoken about
 _SPOKEN = re.compile(r"(?i)\b(?:such as|slots?|braces|placeholders?|templates?|mustache|syntax|variables?|called|written as|notation|escaped|literal(?:ly)?|the string|the token|the tag)\b[^.!?\n]{0,60}$")
 _EXPLAINED = re.compile(r"(?i)^[^.!?\n]{0,40}\b(?:stands? for|means|is a (?:placeholder|slot|variable)|are (?:filled|replaced)|is (?:filled|replaced)|placeholders?|in the (?:old )?(?:log )?format)\b")
-_CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|<(?:code|pre)>.*?</(?:code|pre)>", re.S)
+_CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|<(?:code|pre)>.*?(?:</(?:code|pre)>|\Z)", re.S)
 _FENCED = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`", re.S)
 #: Stands for quoted code where evidence is read: content that is no furniture.
 _QUOTED = " quoted code " + "x" * FURNITURE_CHARS + " "
+#: Characters before a slot in which a statement of code makes the line code.
+_LINE_BEFORE = 200
+#: What any slot has in it.
+_SLOT_HINT = re.compile(r"[{}<>\[%$@_‹]|undefined")
+_CODE_MARK = re.compile(r"`|~~~|</?(?:code|pre)>")
 _QUOTED_LINE = re.compile(r"(?:return|def|import|print|export|echo|curl|const|let|var|raise|if|for)\b.*[(){}=;]")
 
 
@@ -93,16 +105,20 @@ def _spoken_of(prose: str, m: re.Match) -> bool:
 
 def has_slot(text: str) -> bool:
     """Whether prose has a slot that should have been filled and was not."""
+    if not _SLOT_HINT.search(text):
+        return False
     prose = _prose(text)
     for m in _SLOT.finditer(prose):
-        line = prose[prose.rfind("\n", 0, m.start()) + 1 : m.start()]
-        if m[0].startswith("{") and _QUOTED_LINE.search(line):
-            continue
+        if m[0].startswith("{"):
+            before = prose[max(0, m.start() - _LINE_BEFORE) : m.start()]
+            if _QUOTED_LINE.search(before[before.rfind("\n") + 1 :]):
+                continue
         if not _spoken_of(prose, m):
             return True
     for m in _BRACKETED.finditer(prose):
-        line = prose[prose.rfind("\n", 0, m.start()) + 1 : (prose.find("\n", m.end()) + 1 or len(prose) + 1) - 1]
-        if line.strip() == m[0] or _NO_SLOT.match(m[1]) or prose[m.end() : m.end() + 1] in "(:[":
+        before, after = prose[max(0, m.start() - 20) : m.start()], prose[m.end() : m.end() + 20]
+        alone = (m.start() <= 20 or "\n" in before) and not before[before.rfind("\n") + 1 :].strip() and not after.split("\n", 1)[0].strip() and (len(after) < 20 or "\n" in after)
+        if alone or _NO_SLOT.match(m[1]) or after[:1] in ("(", ":", "["):
             continue
         if not _spoken_of(prose, m):
             return True
@@ -112,7 +128,7 @@ def has_slot(text: str) -> bool:
 # ---------------------------------------------------------------- whole messages
 # Sentences are compared in lower case, with single blanks and without list marks.
 
-_THING = r"(?:(?:the|this|your|that|my|our)\s+)?(?:[\w'-]+\s+){0,3}[\w'-]+(?: you (?:asked for|requested|are looking for))?"
+_THING = r"(?:(?:the|this|your|that|my|our) )?(?:[\w'-]{1,40} ){0,3}[\w'-]{1,40}(?: you (?:asked for|requested|are looking for))?"
 _STATUS = r"(?:internal server error|bad gateway|bad request|not found|page not found|service (?:temporarily )?unavailable|gateway time-?out|forbidden|unauthori[sz]ed|too many requests|request time-?out|gone|conflict|method not allowed|payment required|access denied|server error|error)"
 _ERROR = [
     r"(?:http |error |status |code |http error |http status )*[45]\d\d(?:\s*[-–—:|]?\s*" + _STATUS + r".{0,160}| [-–—:|] .{0,120})?",
@@ -167,7 +183,7 @@ _SCRIPT = [
 _FILLER = [
     r"lorem ipsum\b.{0,200}",
     r"(?:this is |here is )?(?:a |some |just |only )?(?:placeholder|filler|dummy|sample|example|mock)(?: body)? ?(?:text|copy|content|paragraph|title|subtitle|body|sentence|summary|data|entry|note|profile text|session title)(?: (?:for|goes|only|here|that|which|to be|until|and)\b.{0,80})?",
-    r"(?:sample|example|dummy|placeholder) (?:[\w-]+ ?){1,3}",
+    r"(?:sample|example|dummy|placeholder) [\w-]{1,40}(?: [\w-]{1,40}){0,2} ?",
     r"(?:the )?[\w' -]{1,30} (?:will be added later|goes here|to be (?:added|written|filled in|announced|determined)(?: later)?|coming soon|will follow(?: later| soon)?)(?:\s*\(.{0,40}\))?",
     r"content coming soon\b.{0,40}|coming soon.{0,30}|under construction.{0,40}|this is where the [\w' -]{1,30} goes",
     r"(?:write|add|enter|type|put|insert|describe|paste) (?:your|a|an|the|some) [\w' -]{1,30} here.{0,40}",
@@ -191,7 +207,6 @@ _SUPPORT = [
     r"#+\s*.{0,30}|\[[^\]]{1,30}\]|<[^<>]{1,60}>|[-–—=*_·•|.\s…]+",
 ]
 _FULL = {k: re.compile("(?:" + "|".join(f"(?:{p})" for p in ps) + r")[\s.!。!…]*", re.S) for k, ps in (("error", _ERROR), ("script", _SCRIPT), ("filler", _FILLER), ("support", _SUPPORT))}
-_DIGITS = re.compile(r"[0-9]+")
 _BLANKS = re.compile(r"\s+")
 _ENDS = re.compile(r"(?<=[.!?…])\s+|(?<=[。!?])")
 _MARK = re.compile(r"^(?:(?:[-*•·>#]+|\d+[.)]|\[\w{1,20}\])\s+)+|^\*\*|\*\*$")
@@ -226,119 +241,145 @@ _STEMS = (
 
 
 def _kind(sentence: str) -> str | None:
+    """The kind of message that a whole sentence is."""
+    if len(sentence) > SENTENCE_CHARS:
+        return None
     for k, p in _FULL.items():
         if p.fullmatch(sentence):
             return k
     return None
 
 
-def evidence(text: str) -> tuple[dict[str, int], list[str]]:
-    """Characters of evidence by kind, and the lines that are neither evidence nor go with it.
+def _evident(line: str) -> str | None:
+    return "filler" if _repeated(line) or _latin(line) else _kind(line)
+
+
+def _plain(line: str) -> str:
+    """A line in lower case, with single blanks and without list marks."""
+    return _MARK.sub("", _BLANKS.sub(" ", line).strip()).lower()
+
+
+def residual(lines: list[str], boilerplate: list[bool]) -> list[str]:
+    """The lines without boilerplate; a recurring line that is a message, has a slot or marks code is kept."""
+    if not any(boilerplate):
+        return lines
+    return [x for x, known in zip(lines, boilerplate, strict=True) if not known or _CODE_MARK.search(x) or _evident(_plain(x)) or has_slot(x)]
+
 
-    Of a line that is in part evidence only the rest is returned.  Once lines too long to
-    be boilerplate have more content than furniture may have, the document is no case
-    and nothing is returned.
+def evidence(lines: list[str], furniture: int = FURNITURE_CHARS) -> dict[str, int]:
+    """Characters of evidence by kind of a residual that has no content; empty if it has content.
+
+    Content is more than ``furniture`` characters, or more than twice the evidence and
+    40, in sentences that are neither evidence nor go with it.
     """
-    found: dict[str, int] = {}
-    rest, sure = [], 0
+    text = "\n".join(lines)
     prose = _FENCED.sub(_QUOTED, text) if "`" in text or "~~~" in text else text
-    lines = [_MARK.sub("", _BLANKS.sub(" ", raw).strip()).lower() for raw in prose.splitlines()]
-    lines = [x for x in lines if x]
-    again = Counter(lines)
-    for line in lines:
-        if again[line] >= 3 and again[line] * 2 >= len(lines) and len(line) <= 30:
-            found["filler"] = found.get("filler", 0) + len(line)
-            continue
-        kind = "filler" if _repeated(line) or _latin(line) else _kind(line)
-        if kind:
+    plain = [x for x in map(_plain, prose.splitlines()) if x]
+    again = Counter(plain) if len(plain) >= 3 else {}
+    found: dict[str, int] = {}
+    left = 0
+    for line in plain:
+        often = again and again[line] >= 3 and again[line] * 2 >= len(plain) and len(line) <= 30
+        if kind := "filler" if often else _evident(line):
             found[kind] = found.get(kind, 0) + len(line)
             continue
-        other, more = [], 0
-        own = len(line) > LINE_CHARS and len(_DIGITS.sub("#", line)) > LINE_CHARS
+        other = 0
         for s in _ENDS.split(line):
             s = _MARK.sub("", s.strip())
             if not s:
                 continue
-            kind = "filler" if _repeated(s) or _latin(s) else _kind(s)
-            if not kind and (m := _TITLED.match(s)):
+            kind = _evident(s)
+            if not kind and len(s) <= SENTENCE_CHARS and (m := _TITLED.match(s)):
                 kind = _kind(m[2])
             if kind:
                 found[kind] = found.get(kind, 0) + len(s)
             else:
-                other.append(s)
-                more += len(s)
-                if own and sure + more > FURNITURE_CHARS:
-                    return {}, []
-        sure += more * own
-        if other:
-            rest.append(" ".join(other))
-    return found, rest
+                other += len(s) + (other > 0)
+                if left + other > furniture:
+                    return {}
+        left += other
+    return found if left <= 2 * sum(found.values()) + 40 else {}
+
+
+def verdict(lines: list[str], boilerplate: list[bool]) -> str | None:
+    """Why a document is to be excluded: slot, error, script or filler; None if it is not."""
+    rest = residual(lines, boilerplate)
+    if has_slot("\n".join(rest)):
+        return "slot"
+    found = evidence(rest)
+    kinds = [k for k in ("error", "script", "filler") if k in found]
+    return max(kinds, key=found.__getitem__) if kinds else None
 
 
 def _normal(c: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), r"[0-9]+", "#")
 
 
+def _lines() -> Column:
+    return F.split("text", r"\R")
+
+
+def _host() -> Column:
+    return F.coalesce(key("source"), F.lit(""))
+
+
+def _hash(line: Column) -> Column:
+    """The hash of a line's normal form; null for a blank line."""
+    n = _normal(line)
+    return F.when(n != "", F.xxhash64(n))
+
+
 def line_counts(documents: DataFrame, least: int = RECURRENT, share: float = SHARE) -> DataFrame:
-    """(host, line): hashes of the normalised lines of at least ``least`` texts of a host and ``share`` of them.
+    """(host, lines): the hashes of the normalised lines of at least ``least`` texts of a host and ``share`` of them.
 
-    Identical texts of a host count once.
+    Identical texts of a host count once.  Hosts without such lines have no row.
     """
-    lines = F.array_distinct(F.transform(F.split("text", r"\n+"), _normal))
-    short = F.filter(lines, lambda x: (F.length(x) > 0) & (F.length(x) <= LINE_CHARS))
+    hashes = F.array_distinct(F.filter(F.transform(_lines(), _hash), lambda x: x.isNotNull()))
     texts = (
         documents.filter("text is not null")
-        .select(F.coalesce(key("source"), F.lit("")).alias("host"), F.xxhash64("text").alias("same"), F.transform(short, lambda x: F.xxhash64(x)).alias("lines"))
+        .select(_host().alias("host"), F.xxhash64("text").alias("same"), hashes.alias("lines"))
         .groupBy("host", "same").agg(F.any_value("lines").alias("lines"))
     )
     # the row without a line counts the texts of the host
     counts = texts.select("host", F.explode(F.concat("lines", F.array(F.lit(None).cast("bigint")))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
     counts = Scratch(documents.sparkSession, "lines").keep(counts.filter(f"n >= {least} or line is null"))
     sizes = counts.filter("line is null").select("host", F.col("n").alias("of"))
-    return counts.filter(F.col("n") >= least).filter("line is not null").join(sizes, "host").filter(F.col("n") >= share * F.col("of")).select("host", "line")
+    often = counts.filter(F.col("n") >= least).filter("line is not null").join(sizes, "host").filter(F.col("n") >= share * F.col("of"))
+    return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def judged(documents: DataFrame, furniture: int = FURNITURE_CHARS) -> DataFrame:
+def _marked(documents: DataFrame, *columns: str) -> DataFrame:
+    """The documents' columns, then ``_lines`` and ``_known``: the lines of the text and whether each is boilerplate of its host."""
+    hosts = Scratch(documents.sparkSession, "hosts").keep(line_counts(documents)).toDF("_host", "_often")
+    with_host = documents.select(*columns, F.when(F.trim("text") != "", _lines()).alias("_lines"), _host().alias("_host"))
+    known = F.transform("_lines", lambda x: F.coalesce(F.array_contains("_often", _hash(x)), F.lit(False)))
+    marks = F.when(F.col("_often").isNotNull(), known).otherwise(F.transform("_lines", lambda x: F.lit(False)))
+    return with_host.join(hosts, "_host", "left").select(*columns, "_lines", marks.alias("_known"))
+
+
+def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the reason in place of the last two columns."""
+    for batch in batches:
+        n = batch.num_columns - 2
+        reasons = [verdict(x, y) if x else None for x, y in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(reasons, pa.string())], names=[*batch.schema.names[:n], "_reason"])
+
+
+def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, reason) of the documents to exclude; reason is slot, error, script or filler.
 
     Null, empty and blank texts give no row; repeated rows of a document are judged each
     by itself and give one row.  The host is the source, compared stripped and in lower
     case; a missing source is a host of its own.
     """
-    schema = "doc_id bigint, host string, reason string, shown int, rest array<string>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, host, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not text or not text.strip():
-                    continue
-                if has_slot(text):
-                    out.append((doc, host, "slot", 0, []))
-                    continue
-                found, rest = evidence(text)
-                kinds = [k for k in ("error", "script", "filler") if k in found]
-                if kinds:
-                    out.append((doc, host, max(kinds, key=found.__getitem__), sum(found.values()), rest))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "host", "reason", "shown", "rest"])
-
-    scratch = Scratch(documents.sparkSession, "residue")
-    seen = scratch.keep(documents.select("doc_id", F.coalesce(key("source"), F.lit("")).alias("host"), "text").mapInArrow(run, schema))
-    seen = seen.withColumn("sure", (F.size("rest") == 0) | (F.col("reason") == "slot"))
-    sure = seen.filter("sure").select("doc_id", "reason")
-    # the lines that are left: boilerplate is subtracted, then only furniture may remain
-    open_ = seen.filter("not sure").withColumn("row", F.xxhash64("doc_id", "host", "rest"))
-    lines = open_.select("doc_id", "row", "host", "reason", "shown", F.explode("rest").alias("text"))
-    lines = lines.withColumn("line", F.xxhash64(_normal(F.col("text"))))
-    counted = line_counts(documents).withColumn("known", F.lit(True))
-    left = F.sum(F.when(F.col("known").isNull(), F.length("text")).otherwise(0))
-    decided = lines.join(counted, ["host", "line"], "left").groupBy("doc_id", "row", "reason", "shown").agg(left.alias("left"))
-    others = decided.filter((F.col("left") <= furniture) & (F.col("left") <= 2 * F.col("shown") + 40)).select("doc_id", "reason")
-    return sure.unionByName(others).groupBy("doc_id").agg(F.min("reason").alias("reason"))
+    rows = _marked(documents, "doc_id").mapInArrow(_verdicts, "doc_id bigint, _reason string").filter("_reason is not null")
+    return rows.groupBy("doc_id").agg(F.min("_reason").alias("reason"))
 
 
 def kept(documents: DataFrame) -> DataFrame:
-    """The documents without those to exclude; documents without a text stay, as they are no cases."""
-    return documents.join(judged(documents).select("doc_id"), "doc_id", "left_anti")
+    """The documents without those to exclude, decided row by row where they are read.
+
+    Documents without a text stay, as they are no cases.
+    """
+    schema = StructType([*documents.schema.fields, StructField("_reason", StringType())])
+    return _marked(documents, *documents.columns).mapInArrow(_verdicts, schema).filter("_reason is null").drop("_reason")

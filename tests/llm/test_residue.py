@@ -85,3 +85,27 @@ def test_long_texts(spark):
     long = (CONTENT + " ") * 3000
     df = table(spark, [long, long + " {{slot}} ends it.", "Lorem ipsum dolor amet. " * 4000])
     assert sorted(r.doc_id for r in R.judged(df).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("start", ["", "sample ", "the ", "{{", "${", "<%", "@@", "%", "[[", "<A", "__", "at ", "error", "oops", "lorem ipsum ", "<error ", "todo: ", "access to ", "<code>", "this site "])
+def test_very_long_tokens_are_read_in_linear_time(start):
+    import time
+
+    for fill in ("a", "☺", "a ", "a.", "A_", "<ABC> ", "{x} ", "[Xy] ", "<code>", "if ", ". ", "sample "):
+        text = start + (fill * 100_000)[:100_000] + "☺"
+        began = time.perf_counter()
+        R.verdict(text.splitlines(), [False] * len(text.splitlines()))
+        assert time.perf_counter() - began < 1.0
+
+
+def test_boilerplate_is_subtracted_before_evidence_is_read():
+    lines = ["Home | Notes | " + "every anchor of this store " * 9, "```", "Access denied.", "{{name}} is away", "```"]
+    assert R.residual(lines, [True] * 5) == ["```", "Access denied.", "{{name}} is away", "```"]
+    # without the subtraction the first line is content
+    assert R.verdict(["x " * 90, "Access denied."], [True, False]) == "error" and R.verdict(["x " * 90 + "y", "Access denied."], [False, False]) is None
+
+
+def test_kept_decides_row_by_row_and_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, CONTENT, "s", 1, "l"), (1, "Access denied.", "s", 2, "k"), (2, None, None, 3, None)], "doc_id bigint, text string, source string, host int, lines string")
+    got = R.kept(df)
+    assert got.columns == df.columns and sorted((r.doc_id, r.host) for r in got.collect()) == [(1, 1), (2, 3)]
