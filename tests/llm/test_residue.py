@@ -102,7 +102,7 @@ def test_boilerplate_is_subtracted_before_evidence_is_read():
     lines = ["Home | Notes | " + "every anchor of this store " * 9, "```", "Access denied.", "{{name}} is away", "```"]
     assert R.residual(lines, [True] * 5) == ["```", "Access denied.", "{{name}} is away", "```"]
     # without the subtraction the first line is content
-    assert R.verdict(["x " * 90, "Access denied."], [True, False]) == "error" and R.verdict(["x " * 90 + "y", "Access denied."], [False, False]) is None
+    assert R.verdict([CONTENT, "Access denied."], [True, False]) == "error" and R.verdict([CONTENT, "Access denied."], [False, False]) is None
 
 
 def test_kept_decides_row_by_row_and_keeps_clashing_columns(spark):
