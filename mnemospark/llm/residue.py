@@ -87,8 +87,8 @@ _FENCED = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`", re.S)
 _QUOTED = " quoted code " + "x" * FURNITURE_CHARS + " "
 #: Characters before a slot in which a statement of code makes the line code.
 _LINE_BEFORE = 200
-#: What any slot has in it.
-_SLOT_HINT = re.compile(r"[{}<>\[%$@_‹]|undefined")
+#: What any slot begins with.
+_SLOT_START = re.compile(r"[{$#<@‹%\[_]|undefined")
 _CODE_MARK = re.compile(r"`|~~~|</?(?:code|pre)>")
 _QUOTED_LINE = re.compile(r"(?:return|def|import|print|export|echo|curl|const|let|var|raise|if|for)\b.*[(){}=;]")
 
@@ -105,10 +105,14 @@ def _spoken_of(prose: str, m: re.Match) -> bool:
 
 def has_slot(text: str) -> bool:
     """Whether prose has a slot that should have been filled and was not."""
-    if not _SLOT_HINT.search(text):
+    if not _SLOT_START.search(text):
         return False
-    prose = _prose(text)
-    for m in _SLOT.finditer(prose):
+    prose, at = _prose(text), 0
+    while start := _SLOT_START.search(prose, at):
+        m = _SLOT.match(prose, start.start())
+        at = m.end() if m else start.start() + 1
+        if not m:
+            continue
         if m[0].startswith("{"):
             before = prose[max(0, m.start() - _LINE_BEFORE) : m.start()]
             if _QUOTED_LINE.search(before[before.rfind("\n") + 1 :]):
@@ -214,23 +218,6 @@ _TITLED = re.compile(r"^(.{1,30}?)\s*[-–—:|]\s+(.+)$")
 _WORD = re.compile(r"\w+")
 
 
-def _repeated(line: str) -> bool:
-    """Whether a line only says the same few words, or one letter, again and again."""
-    words = _WORD.findall(line)
-    if len(words) >= 4:
-        kinds = len(set(words))
-        return kinds <= 3 and kinds * 3 <= len(words) and max(map(len, words)) <= 14
-    bare = line.replace(" ", "")
-    return len(bare) >= 12 and len(set(bare)) <= 2 and (bare.isalnum() or set(bare) <= set("….,"))
-
-
-def _latin(line: str) -> bool:
-    """Whether a line is the invented Latin of filler text: many words, and its known stems among them."""
-    words = _WORD.findall(line)
-    known = sum(w.startswith(_STEMS) for w in words)
-    return len(words) >= 5 and known * 5 >= len(words) * 2
-
-
 #: Beginnings of the words of the usual Latin filler text.
 _STEMS = (
     "lorem", "ipsum", "dolor", "amet", "consect", "adipisc", "elit", "tempor", "incidid", "labor", "magna", "aliqu", "veniam", "nostrud",
@@ -238,6 +225,22 @@ _STEMS = (
     "except", "occaecat", "cupidat", "proident", "culpa", "offici", "deserunt", "mollit", "laborum", "vestib", "ferment", "ultric",
     "sodal", "praes", "mollis", "nunquis", "velmor", "curabit", "pellent", "phasell", "vivam", "integer", "quisque", "maecen", "suspend",
 )
+_STEM = re.compile(r"(?<!\w)(?:" + "|".join(_STEMS) + ")")
+
+
+def _filling(line: str) -> bool:
+    """Whether a line only says the same few words, or one letter, again and again, or is the invented Latin of filler text.
+
+    Invented Latin has many words, and its known stems among them.
+    """
+    words = _WORD.findall(line)
+    if len(words) < 4:
+        bare = line.replace(" ", "")
+        return len(bare) >= 12 and len(set(bare)) <= 2 and (bare.isalnum() or set(bare) <= set("….,"))
+    kinds = len(set(words))
+    if kinds <= 3 and kinds * 3 <= len(words) and max(map(len, words)) <= 14:
+        return True
+    return len(words) >= 5 and len(_STEM.findall(line)) * 5 >= len(words) * 2
 
 
 def _kind(sentence: str) -> str | None:
@@ -251,7 +254,7 @@ def _kind(sentence: str) -> str | None:
 
 
 def _evident(line: str) -> str | None:
-    return "filler" if _repeated(line) or _latin(line) else _kind(line)
+    return "filler" if _filling(line) else _kind(line)
 
 
 def _plain(line: str) -> str:
@@ -259,9 +262,9 @@ def _plain(line: str) -> str:
     return _MARK.sub("", _BLANKS.sub(" ", line).strip()).lower()
 
 
-def residual(lines: list[str], boilerplate: list[bool]) -> list[str]:
+def residual(lines: list[str], boilerplate: list[bool] | None) -> list[str]:
     """The lines without boilerplate; a recurring line that is a message, has a slot or marks code is kept."""
-    if not any(boilerplate):
+    if not boilerplate or not any(boilerplate):
         return lines
     return [x for x, known in zip(lines, boilerplate, strict=True) if not known or _CODE_MARK.search(x) or _evident(_plain(x)) or has_slot(x)]
 
@@ -274,21 +277,28 @@ def evidence(lines: list[str], furniture: int = FURNITURE_CHARS) -> dict[str, in
     """
     text = "\n".join(lines)
     prose = _FENCED.sub(_QUOTED, text) if "`" in text or "~~~" in text else text
-    plain = [x for x in map(_plain, prose.splitlines()) if x]
-    again = Counter(plain) if len(plain) >= 3 else {}
+    raw, again = prose.splitlines(), None
     found: dict[str, int] = {}
     left = 0
-    for line in plain:
-        often = again and again[line] >= 3 and again[line] * 2 >= len(plain) and len(line) <= 30
-        if kind := "filler" if often else _evident(line):
+    for line in map(_plain, raw):
+        if not line:
+            continue
+        often = False
+        if len(line) <= 30 and len(raw) >= 3:
+            if again is None:
+                again = Counter(filter(None, map(_plain, raw)))
+            often = again[line] >= 3 and again[line] * 2 >= again.total()
+        sentences = _ENDS.split(line)
+        if often or (kind := _evident(line)):
+            kind = "filler" if often else kind
             found[kind] = found.get(kind, 0) + len(line)
             continue
         other = 0
-        for s in _ENDS.split(line):
+        for s in sentences:
             s = _MARK.sub("", s.strip())
             if not s:
                 continue
-            kind = _evident(s)
+            kind = _evident(s) if len(sentences) > 1 or s != line else None
             if not kind and len(s) <= SENTENCE_CHARS and (m := _TITLED.match(s)):
                 kind = _kind(m[2])
             if kind:
@@ -301,7 +311,7 @@ def evidence(lines: list[str], furniture: int = FURNITURE_CHARS) -> dict[str, in
     return found if left <= 2 * sum(found.values()) + 40 else {}
 
 
-def verdict(lines: list[str], boilerplate: list[bool]) -> str | None:
+def verdict(lines: list[str], boilerplate: list[bool] | None = None) -> str | None:
     """Why a document is to be excluded: slot, error, script or filler; None if it is not."""
     rest = residual(lines, boilerplate)
     if has_slot("\n".join(rest)):
@@ -315,6 +325,10 @@ def _normal(c: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), r"[0-9]+", "#")
 
 
+#: What ``\\R`` stands for in the JVM.
+_BREAK = re.compile(r"\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]")
+
+
 def _lines() -> Column:
     return F.split("text", r"\R")
 
@@ -349,19 +363,19 @@ def line_counts(documents: DataFrame, least: int = RECURRENT, share: float = SHA
 
 
 def _marked(documents: DataFrame, *columns: str) -> DataFrame:
-    """The documents' columns, then ``_lines`` and ``_known``: the lines of the text and whether each is boilerplate of its host."""
+    """The documents' columns, then ``_text``, null if blank, and ``_known``: which lines of it are boilerplate of its host, null if none is."""
     hosts = Scratch(documents.sparkSession, "hosts").keep(line_counts(documents)).toDF("_host", "_often")
-    with_host = documents.select(*columns, F.when(F.trim("text") != "", _lines()).alias("_lines"), _host().alias("_host"))
-    known = F.transform("_lines", lambda x: F.coalesce(F.array_contains("_often", _hash(x)), F.lit(False)))
-    marks = F.when(F.col("_often").isNotNull(), known).otherwise(F.transform("_lines", lambda x: F.lit(False)))
-    return with_host.join(hosts, "_host", "left").select(*columns, "_lines", marks.alias("_known"))
+    with_host = documents.select(*columns, F.when(F.trim("text") != "", F.col("text")).alias("_text"), _host().alias("_host"))
+    known = F.transform(F.split("_text", r"\R"), lambda x: F.coalesce(F.array_contains("_often", _hash(x)), F.lit(False)))
+    joined = with_host.join(hosts, "_host", "left").withColumn("_known", F.when(F.col("_often").isNotNull(), known))
+    return joined.select(*columns, "_text", F.when(F.array_contains("_known", True), F.col("_known")).alias("_known"))
 
 
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Puts the reason in place of the last two columns."""
     for batch in batches:
         n = batch.num_columns - 2
-        reasons = [verdict(x, y) if x else None for x, y in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)]
+        reasons = [verdict(_BREAK.split(x), y) if x else None for x, y in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(reasons, pa.string())], names=[*batch.schema.names[:n], "_reason"])
 
 
