@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark import store
 from mnemospark.operators import drift, orphans
 from mnemospark.plans import base_sql as S
 from mnemospark.sources.tables import table
@@ -19,9 +20,12 @@ def _memory(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Every reference whose record is missing or was loaded only after the reference."""
+    """Every reference whose record is missing or was loaded only after the reference, after batches of a quarter's loads."""
     references, parents = _memory(spark, folder)
-    return orphans.orphans(orphans.advance(orphans.OrphanState.empty(spark), references, parents))
+    state = orphans.OrphanState.empty(spark)
+    for _, state in orphans.periods(state, references, parents, store.empty(spark, orphans.PARENT), "quarter"):
+        pass
+    return orphans.orphans(state)
 
 
 def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,6 +126,16 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": f"""WITH {_REFS} SELECT DISTINCT ref_field, record_key, missing_key FROM refs
             LEFT JOIN known ON known.target = refs.target AND known.k = refs.missing_key WHERE known.k IS NULL OR known.first_at > refs.seen_at""",
+        # at the end of each month, with what had come by then; loads without a time do not occur in the tables
+        "p3_counts": f"""WITH {_REFS}, moves AS (SELECT DISTINCT 'anchors' AS target, {S.key('id')} AS k, loaded_at AS moved_at, false AS gone FROM anchors
+                UNION SELECT 'schemas', {S.key('id')}, loaded_at, false FROM schemas UNION SELECT 'anchors', {S.key('id')}, make_timestamp((pruned_at * 1000000)::BIGINT), true FROM ghosts WHERE pruned_at IS NOT NULL),
+            months AS (SELECT DISTINCT date_trunc('month', t) AS as_of FROM (SELECT seen_at AS t FROM refs UNION SELECT moved_at FROM moves WHERE k IS NOT NULL)),
+            timed AS (SELECT as_of, target, k, min(moved_at) FILTER (NOT gone) AS first_at, max(moved_at) FILTER (NOT gone) AS last_at, max(moved_at) FILTER (gone) AS gone_at
+                FROM months JOIN moves ON moved_at < as_of + INTERVAL 1 MONTH GROUP BY 1, 2, 3)
+            SELECT m.as_of, split_part(ref_field, '.', 1) AS ref_table, ref_field, date_trunc('week', seen_at) AS period, kind, count(*) AS n, count(DISTINCT missing_key) AS n_keys
+            FROM (SELECT m.as_of, r.*, CASE WHEN t.last_at IS NOT NULL AND (t.gone_at IS NULL OR t.last_at >= t.gone_at) THEN 'resolved' WHEN t.first_at IS NULL THEN 'waiting' ELSE 'reopened' END AS kind, t.first_at
+                FROM months m JOIN refs r ON r.seen_at < m.as_of + INTERVAL 1 MONTH LEFT JOIN timed t ON t.as_of = m.as_of AND t.target = r.target AND t.k = r.missing_key) m
+            WHERE kind <> 'resolved' OR first_at > seen_at GROUP BY ALL""",
         "p5_found": f"WITH {_DRIFT} SELECT file_name, record_kind, change_kind, old_name, new_name FROM found",
         "p5_steps": f"""WITH {_DRIFT} SELECT found.*, seq, version - 1 AS from_version, version AS to_version,
             coalesce((SELECT t FROM fields f WHERE f.store_name = v.store_name AND f.record_kind = v.record_kind AND f.file_name = v.old_file AND f.field = old_name), '') AS old_type,

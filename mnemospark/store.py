@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,17 +35,54 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def _at(spark: SparkSession, path: str):
+    """The file system of a path and the path as Hadoop's."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder; none if there is no such folder."""
+    fs, p = _at(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file at once: under another name, then renamed."""
+    fs, p = _at(spark, path)
+    hidden = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p.getParent(), "." + p.getName())
+    out = fs.create(hidden, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(p, False)
+    fs.rename(hidden, p)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _at(spark, path)
+    source = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode()
+    finally:
+        source.close()
+
+
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows of the given columns, which the optimizer knows to be empty."""
+    columns = [c.strip().split(" ", 1) for c in schema.split(",")]
+    return spark.range(1).select(*[F.lit(None).cast(t).alias(n) for n, t in columns]).filter(F.lit(False))
 
 
 def sweep(spark: SparkSession) -> int:
     """Deletes the intermediate tables of all queries so far; to be called when their results were stored."""
     n = len(_made)
     while _made:
-        _delete(spark, _made.pop())
+        delete(spark, _made.pop())
     return n
 
 
@@ -57,11 +95,15 @@ class Scratch:
         self.count = 0
         _made.append(self.root)
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once and return it read back, without its lineage."""
+    def folder(self) -> str:
+        """A new folder of the query's own."""
         self.count += 1
-        path = f"{self.root}/{self.count}"
-        df.write.mode("overwrite").parquet(path)
+        return f"{self.root}/{self.count}"
+
+    def keep(self, df: DataFrame, *by: str) -> DataFrame:
+        """Write ``df`` once, cut into folders by the columns ``by``, and return it read back, without its lineage."""
+        path = self.folder()
+        df.write.mode("overwrite").partitionBy(*by).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -70,4 +112,4 @@ class Scratch:
         """Delete a table made by ``keep`` that no later plan reads."""
         path = getattr(df, "_scratch_path", None)
         if path:
-            _delete(self.spark, path)
+            delete(self.spark, path)

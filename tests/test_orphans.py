@@ -138,3 +138,27 @@ def test_runs_on_test_tables(spark):
 
     assert p3_found(spark, "/root/testdata/sf0.001").columns == ["ref_field", "record_key", "missing_key"]
     assert table(spark, "/root/testdata/sf0.001", "edges").count() > 0
+
+
+def test_a_stream_that_starts_again_keeps_its_state(spark, tmp_path):
+    make = lambda: OrphanSink(O.OrphanState.empty(spark), Scratch(spark, "t"), lambda b: (b[0], parents(spark, b[1]), parents(spark, b[2])), str(tmp_path))
+    sink = make()
+    sink((refs(spark, [("r", "k", 1), ("s", "j", 3)]), [("j", 2)], []), 0)
+    sink((refs(spark, [("t", "l", 4)]), [], []), 1)
+    again = make()
+    again((refs(spark, [("lost", "x", 4)]), [], []), 1)
+    assert rows(O.orphans(again.state)) == [("t.f", "r", "k"), ("t.f", "t", "l")]
+    # the deletion reopens a reference that only the log holds; the return closes it
+    again((refs(spark, []), [("k", 5)], [("j", 6)]), 2)
+    assert {(r["kind"], r["n"]) for r in O.snapshot(again.state).collect()} == {("waiting", 1), ("resolved", 1), ("reopened", 1)}
+    last = make()
+    last((refs(spark, []), [("j", 7)], []), 3)
+    assert {(r["kind"], r["n"]) for r in O.snapshot(last.state).collect()} == {("waiting", 1), ("resolved", 1)}
+
+
+def test_a_batch_rewrites_only_the_buckets_of_its_keys(spark, tmp_path):
+    own = O.OrphanStore(spark, str(tmp_path))
+    own.apply(1, refs(spark, [(f"r{i}", f"k{i}", 1) for i in range(200)]), parents(spark, [(f"k{i}", 0) for i in range(100)]))
+    own.apply(2, refs(spark, []), parents(spark, [("k150", 2)]))
+    assert sorted(set(own.manifest["index"].values())) == [1, 2] and list(own.manifest["index"].values()).count(2) == 1
+    assert {(r["kind"], r["n"]) for r in O.snapshot(own.state()).collect()} == {("waiting", 99), ("resolved", 1)}
