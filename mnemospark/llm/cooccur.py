@@ -4,8 +4,9 @@ Method: stripes.  Every partition builds, for each item, an associative array of
 the items seen with it and merges it over all its records before anything is
 shuffled.  Stripes of one item are split by a hash of the neighbour, so that a hot
 item's array is spread over ``buckets`` tasks; sorted stripes of one key are then
-merged one key at a time.  The log-likelihood ratio and the lift over chance follow
-from the merged counts in Catalyst expressions.
+merged one key at a time.  The number of records travels as a stripe of its own.  The
+log-likelihood ratio, its significance and the lift over chance follow from the merged
+counts in Catalyst expressions.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from mnemospark.store import Scratch
 
 #: Entries of the associative arrays a task holds before it passes its stripes on.
 FLUSH_AT = 400_000
+#: Stands for "any record" where the records are counted; no item, as items are stripped.
+RECORD = " "
+#: Quantiles of the chi-square law with one degree of freedom, by level of significance.
+CRITICAL = {0.05: 3.841459, 0.01: 6.634897, 0.001: 10.827566, 0.0001: 15.136705}
 
 _STRIPE = "item string, bucket int, others array<string>, counts array<bigint>"
 _STRIPE_ARROW = pa.schema([("item", pa.string()), ("bucket", pa.int32()), ("others", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
@@ -68,15 +73,17 @@ def _stripes(buckets: int, flush_at: int):
 
         for batch in batches:
             for items in batch.column(0).to_pylist():
+                if items:
+                    arrays[RECORD][RECORD] += 1
                 for i, item in enumerate(items):
                     mine = arrays[item]
                     before = len(mine)
                     for other in items[i:]:  # from itself on: the first entry counts the item
                         mine[other] += 1
                     held += len(mine) - before
-                if held >= flush_at:
-                    yield from out()
-                    held = 0
+                    if held >= flush_at:  # a long record may be passed on in parts
+                        yield from out()
+                        held = 0
         yield from out()
 
     return run
@@ -116,11 +123,12 @@ def log_likelihood_ratio(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> C
     return F.greatest(F.lit(0.0), 2.0 * (cells - rows - cols + _xlogx(d(n))))
 
 
-def pair_counts(baskets: DataFrame, buckets: int = 16, flush_at: int = FLUSH_AT) -> DataFrame:
+def pair_counts(baskets: DataFrame, buckets: int = 32, flush_at: int = FLUSH_AT) -> DataFrame:
     """Every pair of items of a basket: item_a < item_b, n_ab, n_a, n_b, n, lift, llr.
 
     ``baskets`` has a column ``items`` of sorted distinct strings; n is the number of
-    baskets that have an item.  Empty input gives an empty result.
+    baskets that have an item.  Empty input gives an empty result.  One array holds an
+    item's neighbours of one bucket, so ``buckets`` is to grow with the number of items.
     """
     scratch = Scratch(baskets.sparkSession, "cooccur")
     stripes = baskets.select("items").mapInArrow(_stripes(buckets, flush_at), _STRIPE)
@@ -131,8 +139,8 @@ def pair_counts(baskets: DataFrame, buckets: int = 16, flush_at: int = FLUSH_AT)
         )
     )
     alone = cells.filter("item_a = item_b").select(F.col("item_a").alias("item"), F.col("n_ab").alias("n"))
-    total = baskets.filter("size(items) > 0").count()
-    n, n_ab, n_a, n_b = F.lit(total), F.col("n_ab"), F.col("n_a"), F.col("n_b")
+    total = alone.filter(F.col("item") == RECORD).agg(F.sum("n")).first()[0] or 0
+    n, n_ab, n_a, n_b = F.lit(total).cast("bigint"), F.col("n_ab"), F.col("n_a"), F.col("n_b")
     return (
         cells.filter("item_a < item_b")
         .join(alone.toDF("item_a", "n_a"), "item_a")
@@ -145,8 +153,17 @@ def pair_counts(baskets: DataFrame, buckets: int = 16, flush_at: int = FLUSH_AT)
     )
 
 
+def significant(pairs: DataFrame, level: float = 0.001) -> DataFrame:
+    """The pairs seen together more often than chance explains at a level of significance (a key of ``CRITICAL``)."""
+    return pairs.filter((F.col("lift") > 1) & (F.col("llr") >= CRITICAL[level]))
+
+
 def associated_tags(anchors: DataFrame, least: int = 8, times: int = 3) -> DataFrame:
-    """Pairs of tags that at least ``least`` anchors carry, ``times`` as often as chance or more."""
-    few = F.col("n_ab") >= least
-    often = F.col("n_ab") * F.col("n") >= F.lit(times) * F.col("n_a") * F.col("n_b")
-    return pair_counts(baskets(anchors)).filter(few & often)
+    """Pairs of tags that at least ``least`` anchors carry, ``times`` as often as chance or more, significant at 0.01.
+
+    With r = n_ab / expected the ratio is at least 2 n_ab (ln r - 1 + 1 / r), which is 6.91
+    for 8 records and r = 3: with the defaults the test takes no pair away.
+    """
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    often = wide("n_ab") * wide("n") >= wide("n_a") * wide("n_b") * F.lit(times)
+    return significant(pair_counts(baskets(anchors)).filter(F.col("n_ab") >= least).filter(often), 0.01)

@@ -93,7 +93,8 @@ def mixture(documents: DataFrame, targets: DataFrame, budget: int | str | None =
     scratch = Scratch(spark, "mixing")
     weights = targets_of(targets)
     of_target = documents.select("doc_id", key("source").alias("source"), "text").join(weights.select("source"), "source", "left_semi")
-    sizes = tokens.sized(of_target.select("doc_id", "source", "text"), folder).filter("n_tokens > 0")
+    # written, as a range partitioning reads its input twice
+    sizes = scratch.keep(tokens.sized(of_target.select("doc_id", "source", "text"), folder).filter("n_tokens > 0"))
     shuffled = sizes.withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
     within = scratch.keep(running_sum(shuffled, scratch, ["source"], ["h", "doc_id"], "n_tokens", "upto"))
     totals = within.groupBy("source").agg(F.sum("n_tokens").alias("total"))

@@ -24,6 +24,13 @@ def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p1_significant(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of tags carried together more often than chance explains, at a level of 0.001."""
+    return cooccur.significant(cooccur.pair_counts(cooccur.baskets(table(spark, folder, "anchors")))).select(
+        F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_ab", F.round(F.col("llr") + 1e-9, 4).alias("llr")
+    )
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of anchors of a cosine of 0.9 or more, one among the 10 nearest of the other."""
     return neighbours.near_pairs(table(spark, folder, "anchors"))
@@ -77,4 +84,4 @@ def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_knn, p4_found, p6_ids, p7_mix, p7_shares, p7_shares_exact, p8_found, p8_reasons, p8_kept)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p1_significant, p2_found, p2_knn, p4_found, p6_ids, p7_mix, p7_shares, p7_shares_exact, p8_found, p8_reasons, p8_kept)}

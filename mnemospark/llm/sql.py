@@ -26,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_TAGS} SELECT tag_a, tag_b FROM counted WHERE n_ab >= 8 AND n_ab * n >= 3 * n_a * n_b",
         "p1_pairs": f"WITH {_TAGS} SELECT tag_a, tag_b, n_ab, n_a, n_b, round(n_ab::DOUBLE * n / (n_a::DOUBLE * n_b) + 1e-9, 6) AS lift, round({_LLR} + 1e-9, 4) AS llr FROM counted",
+        "p1_significant": f"WITH {_TAGS} SELECT tag_a, tag_b, n_ab, round({_LLR} + 1e-9, 4) AS llr FROM counted WHERE n_ab::DOUBLE * n > n_a::DOUBLE * n_b AND {_LLR} >= 10.827566",
         "p4_found": f"WITH RECURSIVE {_MATCHES} SELECT node AS anchor_id, min(label) AS group_id FROM reach GROUP BY 1",
     }

@@ -59,21 +59,19 @@ class MergeAutomaton:
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> None:
         self.ids = {t: i for t, i in vocabulary.items() if len(t) == 1}
         size = max(vocabulary.values()) + 1
-        self.left, self.right, self.born = [START] * size, [START] * size, [0] * size
+        self.left, self.born = [START] * size, [0] * size
         self.target = dict.fromkeys(self.ids.values(), 0)
-        # gadget states: what each was copied from, the arc it lacks
+        # gadget states, numbered by merge: what each was copied from, the arc it lacks
         self.parent, self.lacks = [-1], [START]
-        self.lost: dict[tuple[int, int], int] = {}
         for rank, (u, v) in enumerate(merges, 1):
             a, b = self.ids[u], self.ids[v]
             token = vocabulary[u + v]
             self.ids[u + v] = token
-            self.left[token], self.right[token], self.born[token] = a, b, rank
+            self.left[token], self.born[token] = a, rank
             self.target[token] = self.target[b]
             self.parent.append(self.target[a])
             self.lacks.append(b)
             self.target[a] = len(self.parent) - 1
-            self.lost[a, b] = rank
         self.label = {i: t for t, i in self.ids.items()}
         self.length = [len(self.label.get(i, b"")) for i in range(size)]
         self.open = {t[:k] for t in self.ids for k in range(1, len(t))}
@@ -107,25 +105,21 @@ class MergeAutomaton:
         return own
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether the state that arc ``a`` leads to has an arc ``b``, by the gadgets that made both.
+        """Whether the state that arc ``a`` leads to has an arc ``b``, read from the gadgets.
 
-        Of the two tokens the later made is taken back to what its gadget copied: an arc
-        exists where the arc of its left part did, a target is that of the right part.
+        A state has the arcs of the one it was copied from but for the arc its gadget
+        took away; of a token made by the gadget or later it has the arc if it has that of the
+        token's left part.  The first state has every arc.
         """
-        if a == START:
-            return True
-        until = len(self.parent)
-        while True:
-            rank = self.lost.get((a, b))
-            if rank is not None and rank <= until:
+        state = 0 if a == START else self.target[a]
+        while state:
+            if self.born[b] >= state:
+                b = self.left[b]
+            elif self.lacks[state] == b:
                 return False
-            ra, rb = self.born[a], self.born[b]
-            if not ra and not rb:
-                return True
-            if rb >= ra:
-                until, b = rb, self.left[b]
             else:
-                until, a = ra - 1, self.right[a]
+                state = self.parent[state]
+        return True
 
     def _arc(self, state: int, byte: int) -> int:
         """Makes the state that ``byte`` leads to."""
