@@ -64,6 +64,13 @@ def keywords(c: Column | str) -> Column:
     return F.array_sort(F.array_except(F.array_distinct(tokens(c)), stop))
 
 
+def bigrams(c: Column | str) -> Column:
+    """Distinct pairs of neighbouring letters, in lower case; none for shorter texts."""
+    low = F.lower(c)
+    pairs = F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda i: F.substring(low, i, F.lit(2)))
+    return F.when(F.length(low) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements; 0 when either is empty."""
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))

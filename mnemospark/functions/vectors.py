@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,3 +46,17 @@ def resonance(frequency: float, phase: float) -> Column:
     gap = F.abs(c("natural_frequency") - frequency)
     gauss = F.exp(-gap * gap / (2 * width * width))
     return F.when((gap > width) | (width == 0), 0.0).otherwise(gauss * F.greatest(F.lit(0.0), F.cos(phase_gap(c("phase_offset"), phase))) * c("coupling_strength"))
+
+
+def _floats(blobs: pd.Series) -> pd.Series:
+    return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
+
+
+def floats(c: Column | str) -> Column:
+    """The float32 values of a blob, little endian; null if it is null or not whole."""
+    return F.pandas_udf(_floats, "array<float>")(c)
+
+
+def usable(c: Column) -> Column:
+    """Whether all values of a vector are finite and not all are zero."""
+    return F.coalesce(~F.exists(c, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(c, lambda x: x != 0), F.lit(False))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemospark.plans import corpus, graphs, layers, lifecycle, pipelines, texts, timeline, upkeep, vectors
+from mnemospark.plans import corpus, graphs, layers, lifecycle, pipelines, recall, texts, timeline, upkeep, vectors
 
-_CATALOGUES = [c.CATALOGUE for c in (lifecycle, graphs, texts, vectors, timeline, pipelines, upkeep, layers)]
+_CATALOGUES = [c.CATALOGUE for c in (lifecycle, graphs, texts, vectors, timeline, pipelines, upkeep, layers, recall)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

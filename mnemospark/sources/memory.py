@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemospark.functions import notation
+from mnemospark.functions import vectors as V
 from mnemospark.sources.tables import table
 
 #: 2025-08-01 00:00 UTC, after the last activation of the stored anchors.
@@ -99,3 +100,20 @@ def ghosts(spark: SparkSession, folder: str) -> DataFrame:
         F.col("_key").alias("id"), notation.tags("original_tags_json").alias("tags"), "pruned_at", F.coalesce("revival_count", F.lit(0)).alias("revival_count"),
         F.coalesce("original_importance", F.lit(0.5)).alias("importance"), "residue_blob",
     )
+
+
+def vectors(spark: SparkSession, folder: str, dimensions: int = 64) -> DataFrame:
+    """(id, embedding) of the anchors whose blob holds exactly ``dimensions`` float32, all finite and not all zero.
+
+    Of an id with several blobs the least counts.
+    """
+    blobs = table(spark, folder, "anchors").filter(F.octet_length("embedding_blob") == 4 * dimensions).groupBy(notation.key("id").alias("id")).agg(F.min("embedding_blob").alias("blob"))
+    return blobs.filter("id is not null").select("id", V.floats("blob").alias("embedding")).filter(V.usable(F.col("embedding")))
+
+
+def schemas(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each schema id, its newest: template, slots, instance ids, confidence, tags."""
+    rows = latest(table(spark, folder, "schemas"), notation.key("id"), "loaded_at", "confidence", "template")
+    return rows.select(
+        F.col("_key").alias("id"), "template", "slots_json", notation.ids("instance_ids_json").alias("ids"), "confidence", "created_at", notation.tags("tags_json").alias("tags")
+    )
