@@ -75,7 +75,7 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def similar_pairs(vectors: DataFrame, over: float, blocks: int | None = None) -> DataFrame:
-    """(a, b, cosine), a < b, of all pairs of (id bigint, embedding) whose cosine is above ``over``.
+    """(a, b, cosine), a < b, of all pairs of (id, embedding) whose cosine is above ``over``; ids are numbers or strings.
 
     Repeated ids are compared as they come; rows without an id or vector are left out.
     All vectors must have the same length.
@@ -95,7 +95,8 @@ def similar_pairs(vectors: DataFrame, over: float, blocks: int | None = None) ->
                 left, right, found = left[keep], right[keep], cos[r[keep], c[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(found)], names=["a", "b", "cosine"])
 
-    return _sides(vectors, blocks).mapInArrow(run, "a bigint, b bigint, cosine double")
+    kind = dict(vectors.dtypes)["id"]
+    return _sides(vectors, blocks).mapInArrow(run, f"a {kind}, b {kind}, cosine double")
 
 
 def knn(vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
@@ -120,7 +121,8 @@ def knn(vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
                 if p in own and q in own:
                     yield from best(*own[p], *own[q])
 
-    found = _sides(vectors, blocks).mapInArrow(run, "id bigint, other bigint, cosine double")
+    kind = dict(vectors.dtypes)["id"]
+    found = _sides(vectors, blocks).mapInArrow(run, f"id {kind}, other {kind}, cosine double")
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("cosine"), "other"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
