@@ -43,18 +43,43 @@ def with_position(df: DataFrame, groups: list[str], order: list[str | Column], s
     return out.select(*df.columns, (F.col("_local") + F.col("_before")).cast("bigint").alias(name))
 
 
-def with_next(df: DataFrame, groups: list[str], order: list[str | Column], columns: list[str], scratch: Scratch, n: int = 1) -> DataFrame:
-    """``df`` with ``next_<column>`` of the row ``n`` places on in its group, null at the end; a negative ``n`` looks back.
+def beside(placed: DataFrame, groups: list[str], at: str, columns: list[str], n: int, prefix: str) -> DataFrame:
+    """``placed`` with the columns of the row ``n`` places on in its group, under the prefix; null beyond the ends.
 
-    Positions are found first; the neighbour is then an equi-join on group and position,
-    which no group's size skews.
+    ``at`` is the number of each row within its group, so this is an equi-join that no
+    group's size skews; ``placed`` is to be a stored table, as it is read twice.
     """
-    placed = scratch.keep(with_position(df, groups, order, scratch, "_at"))
-    other = placed.select(*[F.col(g).alias(f"_{g}") for g in groups], (F.col("_at") - n).alias("_to"), *[F.col(c).alias(f"next_{c}") for c in columns])
-    same = F.col("_at") == F.col("_to")
+    other = placed.select(*[F.col(g).alias(f"_{g}") for g in groups], (F.col(at) - n).alias("_to"), *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
+    same = F.col(at) == F.col("_to")
     for g in groups:
         same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
-    return placed.join(other, same, "left").select(*df.columns, *[f"next_{c}" for c in columns])
+    return placed.join(other, same, "left").drop("_to", *[f"_{g}" for g in groups])
+
+
+def with_next(df: DataFrame, groups: list[str], order: list[str | Column], columns: list[str], scratch: Scratch, n: int = 1) -> DataFrame:
+    """``df`` with ``next_<column>`` of the row ``n`` places on in its group, null at the end; a negative ``n`` looks back."""
+    placed = scratch.keep(with_position(df, groups, order, scratch, "_at"))
+    return beside(placed, groups, "_at", columns, n, "next").drop("_at")
+
+
+def sizes(placed: DataFrame, groups: list[str], name: str = "size") -> DataFrame:
+    """``placed`` with the number of rows of each group, by a join of one row for each group."""
+    n = placed.groupBy(*groups).agg(F.count("*").alias(name))
+    return placed.join(n, groups)
+
+
+def medians(df: DataFrame, group: str, value: str, scratch: Scratch) -> DataFrame:
+    """(group, median): the middle value of each group, or the mean of the two middle ones; nulls do not count."""
+    placed = scratch.keep(with_position(df.filter(F.col(value).isNotNull()).select(group, F.col(value).alias("_v"), F.monotonically_increasing_id().alias("_id")), [group], ["_v", "_id"], scratch, "_at"))
+    middle = sizes(placed, [group], "_n").filter("_at in (floor((_n + 1) / 2), ceil((_n + 1) / 2))")
+    return middle.groupBy(group).agg(F.avg("_v").alias("median"))
+
+
+def tile(position: Column, size: Column, tiles: int) -> Column:
+    """The number of the tile, of nearly equal ones, that a position of a group of a size falls in; the first ones take the rest."""
+    small, rest = F.floor(size / tiles), size % tiles
+    first = rest * (small + 1)
+    return F.when(position <= first, F.ceil(position / (small + 1))).otherwise(rest + F.ceil((position - first) / F.greatest(small, F.lit(1)))).cast("int")
 
 
 def folded(parts: DataFrame, by: str, value: str, start: float) -> DataFrame:

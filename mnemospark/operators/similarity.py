@@ -134,6 +134,34 @@ def centroids(vectors: DataFrame, by: str) -> DataFrame:
     return vectors.groupBy(by).agg(F.count("*").alias("n"), F.array(*means).alias("centroid"))
 
 
+def nearest_centroid(vectors: DataFrame, centroids: DataFrame, by: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, to_<by>, cosine): the centroid (by, centroid) that is nearest to each vector (id, embedding), ties to the lesser.
+
+    Vectors and centroids are hashed into blocks of about ``rows``; one task multiplies a
+    block of each, so any number of centroids is covered and no task grows.
+    """
+    import pandas as pd
+
+    left, right = max(1, ceil(vectors.count() / rows)), max(1, ceil(centroids.count() / rows))
+    kind, label = dict(vectors.dtypes)["id"], dict(centroids.dtypes)[by]
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = vectors.filter("embedding is not null").select("id", "embedding", of("id", left).alias("i"), every(right).alias("j"))
+    c = centroids.filter("centroid is not null").select(F.col(by).alias("k"), "centroid", every(left).alias("i"), of(by, right).alias("j"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": a.id[:0], "to": b.k[:0], "cosine": np.array([])})
+        b = b.sort_values("k")
+        cos = np.round(_cosines(np.array(a.embedding.tolist(), dtype=np.float64), np.array(b.centroid.tolist(), dtype=np.float64)), 9)
+        at = cos.argmax(1)
+        return pd.DataFrame({"id": a.id.to_numpy(), "to": b.k.to_numpy()[at], "cosine": cos[np.arange(len(a)), at]})
+
+    found = v.groupBy("i", "j").cogroup(c.groupBy("i", "j")).applyInPandas(best, f"id {kind}, to {label}, cosine double")
+    first = F.min(F.struct((-F.col("cosine")).alias("least"), "to", "cosine")).alias("b")
+    return found.groupBy("id").agg(first).select("id", F.col("b.to").alias(f"to_{by}"), "b.cosine")
+
+
 def leader_clusters(vectors: DataFrame, block: str, over: float, rows: int = 10_000) -> DataFrame:
     """(block, id, leader): greedy leaders within each block, in the order of importance and id.
 
@@ -207,7 +235,7 @@ def leader_clusters(vectors: DataFrame, block: str, over: float, rows: int = 10_
 
 
 def inhibit(candidates: DataFrame, over: float = 0.7, penalty: float = 0.3, k: int = 20) -> DataFrame:
-    """(id, total): winner-take-all over a bounded list of candidates (id, total, embedding).
+    """(id, total): winner-take-all over candidates (id, total, embedding), a list that the caller bounds.
 
     In the order of their totals, a candidate loses the share ``penalty`` times its
     greatest cosine with those kept before it, if that is above ``over``, and drops out
@@ -230,4 +258,4 @@ def inhibit(candidates: DataFrame, over: float = 0.7, penalty: float = 0.3, k: i
         out = pd.DataFrame({"id": pdf.id.to_numpy()[kept], "total": totals})
         return out.sort_values(["total", "id"], ascending=[False, True]).head(k)
 
-    return candidates.limit(10 * k).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "id bigint, total double")
+    return candidates.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "id bigint, total double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import decay
 from mnemospark.functions import text as T
 from mnemospark.functions import vectors as V
-from mnemospark.operators import search
+from mnemospark.operators import ordered, search
 from mnemospark.plans import base_sql as S
 from mnemospark.plans.catalogue import Catalogue, r6
 from mnemospark.plans.timeline import topic
@@ -17,6 +17,7 @@ from mnemospark.plans.vectors import _Q, _VM, _cos, _query_vector, memories
 from mnemospark.sources import memory
 from mnemospark.sources.memory import AS_OF
 from mnemospark.sources.tables import table
+from mnemospark.store import Scratch
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -43,8 +44,8 @@ def compressed_sources(spark: SparkSession, folder: str) -> DataFrame:
     then="SELECT layer, n FROM (SELECT 'message' AS layer, count(*) AS n FROM mem UNION ALL SELECT 'event', count(*) FROM e UNION ALL SELECT 'semantic', count(*) FROM s WHERE events >= 5 UNION ALL SELECT 'personality', count(*) FROM s WHERE events >= 20)"))
 def four_layers(spark: SparkSession, folder: str) -> DataFrame:
     """How many items each layer holds: messages, events of eight, semantic and personality units."""
-    rn = F.row_number().over(W.partitionBy("session").orderBy("created_at", "id"))
-    m = memory.anchors(spark, folder).select("session", F.floor((rn - 1) / 8).alias("batch"))
+    placed = ordered.with_position(memory.anchors(spark, folder).select("session", "created_at", "id"), ["session"], ["created_at", "id"], Scratch(spark, "layers"))
+    m = placed.select("session", F.floor((F.col("position") - 1) / 8).alias("batch"))
     batches = m.groupBy("session", "batch").agg(F.count("*").alias("n"))
     sessions = batches.groupBy("session").agg(F.sum("n").alias("messages"), F.count_if(F.col("n") == 8).alias("events"))
     t = sessions.agg(F.sum("messages").alias("message"), F.sum("events").alias("event"), F.count_if(F.col("events") >= 5).alias("semantic"), F.count_if(F.col("events") >= 20).alias("personality"))
@@ -148,6 +149,9 @@ def hot_nodes(spark: SparkSession, folder: str) -> DataFrame:
 @query(S.over(S.MEM, "d AS (SELECT session, created_at - lag(created_at) OVER (PARTITION BY session ORDER BY created_at, id) AS gap FROM mem)", then="SELECT session, count(gap) AS gaps, count(*) FILTER (gap > 86400) AS breaks, round(median(gap), 6) AS median_gap FROM d GROUP BY 1 HAVING count(gap) > 0"))
 def session_gaps(spark: SparkSession, folder: str) -> DataFrame:
     """Gaps between the memories of every session: number, those of more than a day, median."""
-    gap = F.col("created_at") - F.lag("created_at").over(W.partitionBy("session").orderBy("created_at", "id"))
-    d = memory.anchors(spark, folder).select("session", gap.alias("gap"))
-    return d.groupBy("session").agg(F.count("gap").alias("gaps"), F.count_if(F.col("gap") > 86400).alias("breaks"), r6(F.median("gap"), "median_gap")).filter("gaps > 0")
+    scratch = Scratch(spark, "gaps")
+    a = memory.anchors(spark, folder).select("session", "created_at", "id")
+    before = ordered.with_next(a, ["session"], ["created_at", "id"], ["created_at"], scratch, -1)
+    d = scratch.keep(before.select("session", (F.col("created_at") - F.col("next_created_at")).alias("gap")).filter("gap is not null"))
+    counts = d.groupBy("session").agg(F.count("gap").alias("gaps"), F.count_if(F.col("gap") > 86400).alias("breaks"))
+    return counts.join(ordered.medians(d, "session", "gap", scratch), "session").select("session", "gaps", "breaks", r6("median", "median_gap"))

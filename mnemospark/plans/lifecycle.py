@@ -7,10 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemospark.functions import decay, links
+from mnemospark.operators import ordered
 from mnemospark.plans import base_sql as S
 from mnemospark.plans.catalogue import Catalogue, r6
 from mnemospark.sources import memory
 from mnemospark.sources.memory import AS_OF
+from mnemospark.store import Scratch
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -177,9 +179,9 @@ def replay_priority(spark: SparkSession, folder: str) -> DataFrame:
     c = F.col
     p = F.abs("emotional_valence") * 0.25 + c("surprise") * 0.25 + c("frequency") * 0.20 + F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / float(max(1, total))) * 0.15 + F.abs(1.0 - c("stability")) * 0.15
     recent = a.filter(decay.hours("last_at", AS_OF) < 720).join(deg, "id", "left").select("id", F.round(p, 9).alias("p"))
-    half = max(1, recent.count() // 2)
-    top = recent.orderBy(F.desc("p"), "id").limit(half)
-    return top.select("id", r6(c("p"), "priority"), F.row_number().over(W.orderBy(F.desc("p"), "id")).cast("bigint").alias("rk"))
+    scratch = Scratch(spark, "replay")
+    placed = scratch.keep(ordered.with_position(recent, [], [F.desc("p"), c("id")], scratch, "rk"))
+    return placed.filter(c("rk") <= max(1, placed.count() // 2)).select("id", r6(c("p"), "priority"), "rk")
 
 
 # ---------------------------------------------------------------- edges

@@ -7,12 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemospark.functions import decay
+from mnemospark.operators import ordered
 from mnemospark.plans import base_sql as S
 from mnemospark.plans.catalogue import Catalogue, r6
 from mnemospark.sources import memory
 from mnemospark.sources.memory import AS_OF
 from mnemospark.sources.tables import table
 from mnemospark.streaming import windows
+from mnemospark.store import Scratch
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -60,9 +62,12 @@ def timespine_window(spark: SparkSession, folder: str) -> DataFrame:
 @query(S.over(S.MEM, then="""SELECT id, session, lag(id) OVER w AS previous, lead(id) OVER w AS following, row_number() OVER w AS position FROM mem WHERE session <> '' WINDOW w AS (PARTITION BY session ORDER BY created_at, id)"""))
 def episode_links(spark: SparkSession, folder: str) -> DataFrame:
     """The episodes of every session as a linked list."""
-    w = W.partitionBy("session").orderBy("created_at", "id")
+    scratch = Scratch(spark, "episodes")
     a = memory.anchors(spark, folder).filter("session <> ''").select("id", "session", "created_at")
-    return a.select("id", "session", F.lag("id").over(w).alias("previous"), F.lead("id").over(w).alias("following"), F.row_number().over(w).cast("bigint").alias("position"))
+    placed = scratch.keep(ordered.with_position(a, ["session"], ["created_at", "id"], scratch))
+    before = ordered.beside(placed, ["session"], "position", ["id"], -1, "previous").withColumnRenamed("previous_id", "previous").select("session", "position", "previous")
+    after = ordered.beside(placed, ["session"], "position", ["id"], 1, "following").withColumnRenamed("following_id", "following")
+    return after.join(before, ["session", "position"]).select("id", "session", "previous", "following", "position")
 
 
 @query(S.over(S.MEM, "tg AS (SELECT session, tag, count(*) AS n FROM (SELECT session, unnest(tags) AS tag FROM mem) GROUP BY 1, 2)", "tt AS (SELECT session, string_agg(tag, ',' ORDER BY n DESC, tag) AS top_tags FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY n DESC, tag) AS rn FROM tg) WHERE rn <= 5 GROUP BY 1)",
@@ -83,8 +88,10 @@ def session_summary(spark: SparkSession, folder: str) -> DataFrame:
 @query(S.over(S.MEM, "h AS (SELECT session, emotional_valence AS e, ntile(2) OVER (PARTITION BY session ORDER BY created_at, id) AS half FROM mem)", then="""SELECT session, round(avg(e), 6) AS mean, CASE WHEN avg(e) FILTER (half = 2) - avg(e) FILTER (half = 1) > 0.1 THEN 'rising' WHEN avg(e) FILTER (half = 2) - avg(e) FILTER (half = 1) < -0.1 THEN 'falling' ELSE 'steady' END AS trend FROM h GROUP BY 1"""))
 def emotional_trend(spark: SparkSession, folder: str) -> DataFrame:
     """Mean emotion of every session and how its halves differ."""
-    half = F.ntile(2).over(W.partitionBy("session").orderBy("created_at", "id"))
-    h = memory.anchors(spark, folder).select("session", F.col("emotional_valence").alias("e"), half.alias("half"))
+    scratch = Scratch(spark, "trend")
+    a = memory.anchors(spark, folder).select("session", "created_at", "id", F.col("emotional_valence").alias("e"))
+    placed = ordered.sizes(scratch.keep(ordered.with_position(a, ["session"], ["created_at", "id"], scratch)), ["session"])
+    h = placed.withColumn("half", ordered.tile(F.col("position"), F.col("size"), 2))
     g = h.groupBy("session").agg(F.avg("e").alias("m"), (F.avg(F.when(F.col("half") == 2, F.col("e"))) - F.avg(F.when(F.col("half") == 1, F.col("e")))).alias("d"))
     return g.select("session", r6("m", "mean"), F.when(F.col("d") > 0.1, "rising").when(F.col("d") < -0.1, "falling").otherwise("steady").alias("trend"))
 
@@ -109,9 +116,11 @@ def working_memory_top15(spark: SparkSession, folder: str) -> DataFrame:
 @query(S.over(S.MEM, then=f"SELECT {_TOPIC} AS topic, id, row_number() OVER w AS version, lag(id) OVER w AS supersedes, lead(id) OVER w IS NULL AS current FROM mem WINDOW w AS (PARTITION BY {_TOPIC} ORDER BY created_at, id)"))
 def belief_chain(spark: SparkSession, folder: str) -> DataFrame:
     """What is held on each topic as versions that supersede each other."""
+    scratch = Scratch(spark, "beliefs")
     a = memory.anchors(spark, folder).select(topic().alias("topic"), "id", "created_at")
-    w = W.partitionBy("topic").orderBy("created_at", "id")
-    return a.select("topic", "id", F.row_number().over(w).cast("bigint").alias("version"), F.lag("id").over(w).alias("supersedes"), F.lead("id").over(w).isNull().alias("current"))
+    placed = scratch.keep(ordered.with_position(a, ["topic"], ["created_at", "id"], scratch, "version"))
+    rows = ordered.sizes(ordered.beside(placed, ["topic"], "version", ["id"], -1, "before"), ["topic"])
+    return rows.select("topic", "id", "version", F.col("before_id").alias("supersedes"), (F.col("version") == F.col("size")).alias("current"))
 
 
 @query(S.over(S.MEM, f"t AS (SELECT unnest(tags) AS tag, id, {S.RETENTION} AS r FROM mem)", then="SELECT tag, id, rank, round(pow(0.85, rank - 1), 6) AS bonus FROM (SELECT tag, id, row_number() OVER (PARTITION BY tag ORDER BY round(r, 9) DESC, id)::INTEGER AS rank FROM t) WHERE rank <= 20"))
@@ -211,9 +220,14 @@ def events_debounced(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT user_id, count(*) FILTER (recent >= 2) AS promoted, count(*) AS n FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS recent FROM events) GROUP BY 1""")
 def access_promotions(spark: SparkSession, folder: str) -> DataFrame:
     """How often each user's items are promoted: two accesses within a day."""
-    w = W.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-86_400_000_000, 0)
-    e = table(spark, folder, "events").select("user_id", F.count("*").over(w).alias("recent"))
-    return e.groupBy("user_id").agg(F.count_if(F.col("recent") >= 2).alias("promoted"), F.count("*").alias("n"))
+    scratch = Scratch(spark, "accesses")
+    e = table(spark, folder, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    placed = scratch.keep(ordered.with_position(e, ["user_id"], ["at", "event_id"], scratch))
+    before = scratch.keep(ordered.beside(placed, ["user_id"], "position", ["at"], -1, "before"))
+    rows = ordered.beside(before, ["user_id"], "position", ["at"], 1, "after")
+    # a day before it, or at the same time
+    again = F.coalesce(F.col("at") - F.col("before_at") <= 86_400_000_000, F.lit(False)) | F.coalesce(F.col("after_at") == F.col("at"), F.lit(False))
+    return rows.groupBy("user_id").agg(F.count_if(again).alias("promoted"), F.count("*").alias("n"))
 
 
 @query("""SELECT session, tag, n, CASE WHEN n >= 2 THEN text || ' (+' || (n - 1) || ' related)' ELSE text END AS text, round(importance, 6) AS importance FROM (SELECT user_id % 50 AS session, event_type AS tag, count(*) AS n, arg_max('item ' || event_id, (value, event_id)) AS text, avg(value / 500.0) AS importance FROM events GROUP BY 1, 2)""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import decay
 from mnemospark.functions import text as T
 from mnemospark.functions import vectors as V
-from mnemospark.operators import drift, graph, search
+from mnemospark.operators import drift, graph, ordered, search
 from mnemospark.plans import base_sql as S
 from mnemospark.plans.catalogue import Catalogue, r6
 from mnemospark.plans.graphs import _GRAPH, _lpa
@@ -47,8 +47,9 @@ def retrieval_budget(spark: SparkSession, folder: str) -> DataFrame:
     then="SELECT session, batch, round(max(created_at) - min(created_at), 6) AS span, round(avg(importance), 6) AS importance FROM b GROUP BY 1, 2 HAVING count(*) = 8 AND max(created_at) - min(created_at) <= 864000"))
 def message_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Each session's messages in whole batches of eight within ten days."""
-    rn = F.row_number().over(W.partitionBy("session").orderBy("created_at", "id"))
-    b = memory.anchors(spark, folder).select("session", F.floor((rn - 1) / 8).cast("bigint").alias("batch"), "created_at", "importance")
+    a = memory.anchors(spark, folder).select("session", "created_at", "id", "importance")
+    placed = ordered.with_position(a, ["session"], ["created_at", "id"], Scratch(spark, "batches"))
+    b = placed.withColumn("batch", F.floor((F.col("position") - 1) / 8).cast("bigint"))
     span = F.max("created_at") - F.min("created_at")
     g = b.groupBy("session", "batch").agg(F.count("*").alias("n"), span.alias("s"), F.avg("importance").alias("i"))
     return g.filter("n = 8 and s <= 864000").select("session", "batch", r6("s", "span"), r6("i", "importance"))
@@ -81,8 +82,9 @@ def tag_competition(spark: SparkSession, folder: str) -> DataFrame:
 @query(S.over(S.MEM, S.LINKS, S.PAIRS, "n AS (SELECT id, lead(id) OVER (PARTITION BY session ORDER BY created_at, id) AS nxt FROM mem WHERE session <> '')", then="SELECT lo, hi, count(*) AS used, round(least(1.0, any_value(weight) + 0.03 * count(*)), 6) AS weight FROM n JOIN pairs ON lo = least(id, nxt) AND hi = greatest(id, nxt) GROUP BY 1, 2"))
 def chain_success(spark: SparkSession, folder: str) -> DataFrame:
     """Edges between consecutive memories of a session, strengthened once for each use."""
-    nxt = F.lead("id").over(W.partitionBy("session").orderBy("created_at", "id"))
-    steps = memory.anchors(spark, folder).filter("session <> ''").select("id", nxt.alias("nxt")).filter("nxt is not null").select(F.least("id", "nxt").alias("lo"), F.greatest("id", "nxt").alias("hi"))
+    a = memory.anchors(spark, folder).filter("session <> ''").select("session", "created_at", "id")
+    nxt = ordered.with_next(a, ["session"], ["created_at", "id"], ["id"], Scratch(spark, "chain")).filter("next_id is not null")
+    steps = nxt.select(F.least("id", "next_id").alias("lo"), F.greatest("id", "next_id").alias("hi"))
     used = steps.groupBy("lo", "hi").agg(F.count("*").alias("used"))
     return memory.pairs(memory.edges(spark, folder)).join(used, ["lo", "hi"]).select("lo", "hi", "used", r6(F.least(F.lit(1.0), F.col("weight") + 0.03 * F.col("used")), "weight"))
 
@@ -232,4 +234,5 @@ def replay_sample(spark: SparkSession, folder: str) -> DataFrame:
     # weighted sampling by the greatest of u to the power of 1 / weight
     u = (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) + 1) / 1_000_004.0
     keyed = a.select("id", (F.log(u) / p).alias("key"), p.alias("p"))
-    return keyed.orderBy(F.desc("key"), "id").limit(max(1, a.count() // 3)).select("id", r6("p", "priority"))
+    placed = ordered.with_position(keyed, [], [F.desc("key"), F.col("id")], Scratch(spark, "sample"))
+    return placed.filter(F.col("position") <= max(1, a.count() // 3)).select("id", r6("p", "priority"))

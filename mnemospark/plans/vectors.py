@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemospark.functions import decay
 from mnemospark.functions import vectors as V
-from mnemospark.operators import graph, similarity
+from mnemospark.operators import graph, ordered, similarity
 from mnemospark.plans import base_sql as S
 from mnemospark.plans.catalogue import Catalogue, r6
 from mnemospark.sources import memory
 from mnemospark.sources.memory import AS_OF
 from mnemospark.sources.tables import table
+from mnemospark.store import Scratch
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -204,12 +204,10 @@ def centroid_by_label(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(S.over(_VM, _CENT, then=f"""SELECT id, label, to_label, round(c, 6) AS cosine FROM (SELECT id, vm.label, cn.label AS to_label, {_cos('e', 'centroid')} AS c, row_number() OVER (PARTITION BY id ORDER BY round({_cos('e', 'centroid')}, 9) DESC, cn.label) AS rn FROM vm CROSS JOIN cn) WHERE rn = 1"""))
 def route_by_centroid(spark: SparkSession, folder: str) -> DataFrame:
-    """The label whose centroid is nearest to each vector (one literal for each of the few labels)."""
+    """The label whose centroid is nearest to each vector, whatever the number of labels."""
     m = memories(spark, folder)
-    cents = similarity.centroids(m, "label").orderBy("label").limit(256).collect()
-    scored = F.array(*[F.struct(F.round(V.cosine(F.col("embedding"), V.literal(r["centroid"])), 9).alias("s"), F.lit(-r["label"]).alias("minus")) for r in cents])
-    best = m.select("id", "label", F.array_max(scored).alias("b"))
-    return best.select("id", "label", (-F.col("b.minus")).alias("to_label"), r6("b.s", "cosine"))
+    near = similarity.nearest_centroid(m, similarity.centroids(m, "label"), "label")
+    return m.select("id", "label").join(near, "id").select("id", "label", "to_label", r6("cosine", "cosine"))
 
 
 @query()
@@ -232,13 +230,7 @@ def kmeans_shards(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def ghost_resonance(spark: SparkSession, folder: str) -> DataFrame:
     """How strongly each pruned memory resonates with a query vector."""
-    def floats(blobs):
-        import numpy as np
-
-        return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
-
-    floats = F.pandas_udf(floats, "array<float>", F.PandasUDFType.SCALAR)
-    g = memory.ghosts(spark, folder).filter("residue_blob is not null").select("*", floats("residue_blob").alias("trace"))
+    g = memory.ghosts(spark, folder).filter("residue_blob is not null").select("*", V.floats("residue_blob").alias("trace"))
     q = V.strided(_query_vector(spark, folder), 16)
     p = F.least(F.lit(1.0), 0.3 + 0.2 * F.col("revival_count")) * decay.ebbinghaus_ghost(decay.hours("pruned_at", AS_OF), F.col("importance"))
     return g.select("id", r6(V.cosine(F.col("trace"), q) * F.greatest(F.lit(0.05), p), "resonance")).filter("resonance is not null")
@@ -254,5 +246,7 @@ def oscillatory_resonance(spark: SparkSession, folder: str) -> DataFrame:
 @query(S.over(_VM, then="SELECT label, tier, count(*) AS n FROM (SELECT label, ntile(4) OVER (PARTITION BY label ORDER BY importance DESC, id)::INTEGER AS tier FROM vm) GROUP BY 1, 2"))
 def importance_tiers(spark: SparkSession, folder: str) -> DataFrame:
     """Quarters of each label by importance."""
-    t = F.ntile(4).over(W.partitionBy("label").orderBy(F.desc("importance"), "id"))
-    return memories(spark, folder).select("label", t.alias("tier")).groupBy("label", "tier").agg(F.count("*").alias("n"))
+    scratch = Scratch(spark, "tiers")
+    placed = scratch.keep(ordered.with_position(memories(spark, folder).select("label", "importance", "id"), ["label"], [F.desc("importance"), F.col("id")], scratch))
+    tier = ordered.tile(F.col("position"), F.col("size"), 4)
+    return ordered.sizes(placed, ["label"]).select("label", tier.alias("tier")).groupBy("label", "tier").agg(F.count("*").alias("n"))

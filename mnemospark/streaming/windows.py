@@ -13,6 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from mnemospark.operators import ordered
+from mnemospark.store import Scratch
+
 
 def watermarked(events: DataFrame, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
     return events.withWatermark(ts, delay) if events.isStreaming else events
@@ -46,10 +49,10 @@ def deduplicated(events: DataFrame, *keys: str) -> DataFrame:
 
 def debounced(events: DataFrame, seconds: int, *keys: str) -> DataFrame:
     """Events that do not follow another of the same keys within so many seconds."""
-    before = F.lag("ts").over(W.partitionBy(*keys).orderBy("ts", "event_id"))
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    gap = micros(F.col("ts")) - micros(before)
-    return events.withColumn("_gap", gap).filter(F.col("_gap").isNull() | (F.col("_gap") >= seconds * 1_000_000)).drop("_gap")
+    before = ordered.with_next(events, list(keys), ["ts", "event_id"], ["ts"], Scratch(events.sparkSession, "debounce"), -1)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    gap = micros("ts") - micros("next_ts")
+    return before.withColumn("_gap", gap).filter(F.col("_gap").isNull() | (F.col("_gap") >= seconds * 1_000_000)).drop("_gap", "next_ts")
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, step: Callable[[DataFrame], DataFrame], trigger_now: bool = True) -> StreamingQuery:
