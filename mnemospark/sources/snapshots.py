@@ -7,12 +7,15 @@ newest marked version, so a writer that dies leaves the old one in force.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemospark import store
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -40,10 +43,15 @@ class SnapshotStore:
         n = (self.versions() or [0])[-1] + 1
         for name, df in tables.items():
             df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/version={n}/{name}")
-        jvm, p, fs = _fs(self.spark, f"{self.root}/done-{n}")
-        fs.create(p, True).close()
+        sums = {name: checksum(self.spark.read.parquet(f"{self.root}/version={n}/{name}")) for name in tables}
+        store.write_text(self.spark, f"{self.root}/done-{n}", json.dumps(sums))
         return n
 
+    def verify(self, at: int) -> bool:
+        """Whether every table of a version still has the rows it was saved with."""
+        sums = json.loads(store.read_text(self.spark, f"{self.root}/done-{at}"))
+        return all(checksum(self.spark.read.parquet(f"{self.root}/version={at}/{name}")) == s for name, s in sums.items())
+
     def load(self, name: str, at: int | None = None) -> DataFrame:
         """A table of the newest finished version, not later than ``at``."""
         known = [v for v in self.versions() if at is None or v <= at]
@@ -71,6 +79,13 @@ class SnapshotStore:
             fs.delete(p, True)
 
 
+def checksum(df: DataFrame) -> str:
+    """The number of rows and the sum of their hashes, whatever their order."""
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]))
+    n, total = df.agg(F.count("*"), F.sum(F.xxhash64(text).cast("decimal(38,0)"))).first()
+    return f"{n}:{total or 0}"
+
+
 def upserted(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:
     """``base`` with the rows of ``delta`` in place of those of the same key; delta keys must be unique."""
     return base.join(delta.select(key), key, "left_anti").select(*base.columns).unionByName(delta.select(*base.columns))

@@ -63,6 +63,13 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs.rename(hidden, p)
 
 
+def replace(spark: SparkSession, new: str, old: str) -> None:
+    """Puts a folder in the place of another."""
+    fs, p = _at(spark, old)
+    fs.delete(p, True)
+    fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new), p)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _at(spark, path)
     source = fs.open(p)
