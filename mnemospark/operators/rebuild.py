@@ -54,7 +54,7 @@ def split_oversized(both: DataFrame, labels: DataFrame, most: int, rounds: int,
     """
     scratch = Scratch(both.sparkSession, "split")
     large = labels.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("label")
-    inside = labels.join(large, "label", "left_semi")
+    inside = labels.join(large, "label", "left_semi").select("node", "label")
     x, y = inside.toDF("node", "lx"), inside.toDF("other", "ly")
     edges = scratch.keep(both.select("node", "other", "weight").join(x, "node").join(y, "other").filter("lx = ly").select("node", "other", "weight"))
     parts = graph.label_propagation(edges, rounds).toDF("node", "part").join(labels, "node")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import Counter
 
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemospark import store
 from mnemospark.functions import text as T
 from mnemospark.store import Scratch
 
@@ -29,10 +30,12 @@ def bm25(docs: DataFrame, query: str, k1: float = 1.5, b: float = 0.75) -> DataF
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
     toks = docs.filter("text is not null and text <> ''").select("id", T.tokens("text").alias("all"))
     hits = toks.select("id", F.size("all").alias("dl"), F.filter("all", lambda x: x.isin(*wanted)).alias("toks"))
-    # the numbers are stored, so texts are read once for the totals and the scores
-    counts = Scratch(docs.sparkSession, "bm25").keep(hits.select("id", "dl", *[F.size(_occurrences(w)).alias(f"tf{i}") for i, w in enumerate(wanted)]))
-    totals = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]).first()
-    n, avgdl = totals["n"], max(1.0, totals["avgdl"] or 1.0)
+    # texts are read once: the totals are observed on the way, and only rows with a hit are stored
+    seen = Observation()
+    counted = hits.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).filter(F.size("toks") > 0)
+    counts = Scratch(docs.sparkSession, "bm25").keep(counted.select("id", "dl", *[F.size(_occurrences(w)).alias(f"tf{i}") for i, w in enumerate(wanted)]))
+    totals = counts.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]).first()
+    n, avgdl = seen.get["n"], max(1.0, seen.get["avgdl"] or 1.0)
     score = F.lit(0.0)
     for i, (w, times) in enumerate(wanted.items()):
         df, tf = totals[f"df{i}"], F.col(f"tf{i}")
@@ -70,3 +73,69 @@ def key_terms(docs: DataFrame, k: int = 8) -> DataFrame:
     score = F.round(F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1.0), 9)
     rank = F.row_number().over(W.partitionBy("grp").orderBy(F.desc("score"), "term"))
     return counted.select("grp", "term", score.alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+class PostingIndex:
+    """An inverted index on disk: postings by term in buckets, so that a search reads only the buckets of its terms.
+
+    Documents (id string, text) are added in numbered parts; a removed or replaced document
+    leaves a tombstone, the part up to which it no longer counts.  The number and mean
+    length of documents are kept with every part.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def parts(self) -> list[int]:
+        return sorted(int(n.removeprefix("part=")) for n in store.names(self.spark, f"{self.root}/lengths") if n.startswith("part="))
+
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.BUCKETS)).cast("int")
+
+    def _read(self, what: str, schema: str) -> DataFrame:
+        numbers = [n for n in store.names(self.spark, f"{self.root}/{what}") if n.startswith("part=")]
+        return self.spark.read.schema(schema + ", part int").parquet(f"{self.root}/{what}") if numbers else store.empty(self.spark, schema + ", part int")
+
+    def add(self, docs: DataFrame) -> None:
+        """Adds documents, in place of those of the same id."""
+        n = (self.parts() or [0])[-1] + 1
+        toks = docs.filter("text is not null and text <> ''").select(F.col("id").cast("string").alias("id"), T.tokens("text").alias("toks"))
+        toks = Scratch(self.spark, "tokens").keep(toks)
+        each = toks.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
+        postings = each.withColumn("bucket", self._bucket(F.col("term")))
+        self._dead(docs.select(F.col("id").cast("string").alias("id")), n - 1)
+        postings.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings/part={n}")
+        toks.select("id", F.size("toks").alias("dl")).write.mode("overwrite").parquet(f"{self.root}/lengths/part={n}")
+
+    def _dead(self, ids: DataFrame, upto: int) -> None:
+        number = len(store.names(self.spark, f"{self.root}/dead")) + 1
+        ids.distinct().withColumn("upto", F.lit(upto)).write.mode("overwrite").parquet(f"{self.root}/dead/part={number}")
+
+    def remove(self, ids: DataFrame) -> None:
+        """Removes documents by id."""
+        self._dead(ids.select(F.col("id").cast("string").alias("id")), (self.parts() or [0])[-1])
+
+    def clear(self) -> None:
+        store.delete(self.spark, self.root)
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        dead = self._read("dead", "id string, upto int").groupBy(F.col("id").alias("_id")).agg(F.max("upto").alias("_upto"))
+        return rows.join(dead, (F.col("id") == F.col("_id")) & (F.col("part") <= F.col("_upto")), "left_anti")
+
+    def search(self, query: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+        """(id, score) of the documents that hold a query token, as ``bm25`` over all texts would score them."""
+        wanted = query_tokens(query)
+        if not wanted or not self.parts():
+            return store.empty(self.spark, "id string, score double")
+        totals = self._live(self._read("lengths", "id string, dl int")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+        n, avgdl = totals["n"], max(1.0, totals["avgdl"] or 1.0)
+        buckets = [r[0] for r in self.spark.range(1).select(F.explode(F.array_distinct(F.array(*[self._bucket(F.lit(w)) for w in wanted])))).collect()]
+        postings = self._read("postings", "term string, id string, dl int, tf int, bucket int").filter(F.col("bucket").isin(*buckets) & F.col("term").isin(*wanted))
+        hits = Scratch(self.spark, "hits").keep(self._live(postings).select("term", "id", "dl", "tf"))
+        df = hits.groupBy("term").agg(F.count("*").alias("df"))
+        times = F.element_at(F.create_map(*[x for w, t in wanted.items() for x in (F.lit(w), F.lit(t))]), F.col("term"))
+        idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+        one = times * idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / avgdl))
+        return hits.join(df, "term").groupBy("id").agg(F.sum(one).alias("score"))
