@@ -20,6 +20,7 @@ SUBSTANCE = (
     "因为", "所以", "原因", "方案", "步骤", "配置", "部署", "测试", "because", "therefore", "solution", "step", "config", "deploy", "test",
     "error", "bug", "fix", "解决", "修复", "prefer", "like", "want", "need", "喜欢", "想要", "需要", "偏好",
 )
+# Words that only fill, and reactions with how much they are noise, in the order they are tried.
 FILLERS = ("um", "uh", "er", "嗯", "啊", "哦", "呃", "那个", "这个", "就是", "maybe", "perhaps", "大概", "可能", "好像")
 NOISE = (
     (r"^(ok|okay|好的|嗯|哦|知道了|明白了|懂了|收到)[\s\.。!！]*$", 0.95),
@@ -27,6 +28,7 @@ NOISE = (
     (r"^(ha{2,}|呵{2,}|笑|w{2,}|草{2,})[\s\.。!！]*$", 0.95),
     (r"^(yes|no|对|不对|是|不是|可以|不可以)$", 0.8),
     (r"^[a-z]{1,3}$", 0.85),
+    (r"^[\x{1F300}-\x{1F9FF}\x{1FA70}-\x{1FABF}\x{2600}-\x{27BF}\x{FE0F}]+$", 0.98),
     (r"^(hi|hello|hey|嗨|你好|早|早上好|晚上好)[\s\.。!！]*$", 0.7),
     (r"^[/!][a-z]+(\s|$)", 0.6),
 )
@@ -46,6 +48,7 @@ GOALS = (
     (r"(?i)(?:working on|implementing|building|fixing|debugging)\s+([^.\n]+)", 0.6),
     (r"(?i)(?:TODO|FIXME|TASK)[: ]\s*([^.\n]+)", 0.8),
 )
+# Wordings of beliefs about the user.
 BELIEFS = (r"(?i)(?:user|用户)\s*(?:prefers?|likes?|uses?|works? with|knows?|is|has|wants?)\s+([^.\n]+)", r"(?i)(?:用户|user)\s*(?:偏好|喜欢|使用|了解|熟悉|知道|想要)\s*([^。\n]+)")
 # Wordings of facts, in the order they are tried.
 PREFERENCE = ("prefer", "like", "want", "don't like", "hate", "love", "always use", "never use", "favorite", "need", "doesn't like", "do not like")

@@ -208,11 +208,13 @@ def transitive_all(pairs: DataFrame, at_least: float = 0.6, least: float = 0.15,
     return found.groupBy("lo", "hi").agg(F.max("weight").alias("weight")).join(pairs.select("lo", "hi"), ["lo", "hi"], "left_anti")
 
 
-def pagerank(both: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """(node, rank): personalised rank of the seeds' working set after a fixed number of rounds.
+def pagerank(both: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """(node, rank): personalised rank of the seeds' working set after a number of rounds.
 
     The working set is the seeds and their neighbours; transition weights are shares of
-    all edges of a node, so mass that would leave the set is lost.
+    all edges of a node, so mass that would leave the set is lost.  What a seed without
+    edges holds is spread evenly over the set.  With a ``tolerance`` the rounds end once
+    the ranks change by less in all, looked at whenever they are written.
     """
     scratch = Scratch(both.sparkSession, "pagerank")
     seeds = scratch.keep(seeds.select("node").distinct())
@@ -226,12 +228,24 @@ def pagerank(both: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float
     )
     start = working.join(seeds.withColumn("p", F.lit(1.0 / max(1, n_seeds))), "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("p"))
     start = scratch.keep(start)
+    stuck = scratch.keep(seeds.join(step.select("node"), "node", "left_anti"))
+    n_stuck = stuck.count()
+    size = start.count() if n_stuck else 0
     rank = start.select("node", F.col("p").alias("rank"))
     for r in range(1, rounds + 1):
         sent = rank.join(flow, "node").groupBy(F.col("other").alias("node")).agg(F.sum(F.col("rank") * F.col("share") * damping).alias("sent"))
         nxt = start.join(sent, "node", "left").select("node", (F.col("p") * (1 - damping) + F.coalesce("sent", F.lit(0.0))).alias("rank"))
+        if n_stuck:
+            spread = rank.join(stuck, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("stuck"))
+            nxt = nxt.join(spread, F.lit(True)).select("node", (F.col("rank") + F.col("stuck") * (damping / size)).alias("rank"))  # one row
         # the lineage is cut every few rounds
-        rank = scratch.keep(nxt) if r % CUT_EVERY == 0 and r < rounds else nxt
+        if r % CUT_EVERY == 0 and r < rounds:
+            nxt = scratch.keep(nxt)
+            if tolerance is not None:
+                change = nxt.join(rank.withColumnRenamed("rank", "before"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0
+                if change < tolerance:
+                    return nxt
+        rank = nxt
     return rank
 
 

@@ -223,6 +223,13 @@ def ppr_10rounds(spark: SparkSession, folder: str) -> DataFrame:
     return graph.pagerank(both, graph.hubs(both, 5), 10).select("node", r6("rank", "rank"))
 
 
+@query()
+def ppr_converged(spark: SparkSession, folder: str) -> DataFrame:
+    """Personalised rank around the five greatest hubs, once it changes by less than 0.00001 in all, after thirty rounds at most."""
+    both = _both(spark, folder)
+    return graph.pagerank(both, graph.hubs(both, 5), 30, tolerance=1e-5).select("node", r6("rank", "rank"))
+
+
 def _chains(depth: int) -> str:
     out = [f"cs AS MATERIALIZED (SELECT src, dst, max(weight) AS w FROM links WHERE edge_type IN {graph.CAUSAL} GROUP BY 1, 2)", "h0 AS (SELECT node AS s, node AS e, [node] AS path, 1.0::DOUBLE AS c FROM seeds)"]
     out += [f"h{k} AS MATERIALIZED (SELECT s, dst AS e, list_append(path, dst) AS path, c * w AS c FROM h{k - 1} JOIN cs ON src = e WHERE NOT list_contains(path, dst) AND c * w >= 0.2)" for k in range(1, depth + 1)]
