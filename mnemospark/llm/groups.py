@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from mnemospark.functions import notation
 from mnemospark.store import Scratch
 
-#: Relation names that say that both ends are the same memory.
-SAME = ("duplicates", "duplicate_of")
+#: Relation names, as ``notation.edge_types`` writes them, that say that both ends are the same memory.
+SAME = ("duplicates", "duplicate_of", "duplicate", "is_duplicate_of", "duplicated_by", "dup", "dup_of", "same_as", "identical_to", "copy_of")
+#: What the text of each of them contains; read before a type is taken apart.
+_STEMS = r"(?i)dup|same[\s_-]*as|identical|copy"
 
 MAX_ROUNDS = 64
 
@@ -36,7 +38,7 @@ def duplicate_pairs(edges: DataFrame) -> DataFrame:
     """
     kinds = notation.edge_types("edge_type")
     return (
-        edges.filter(F.lower("edge_type").contains("dup"))
+        edges.filter(F.col("edge_type").rlike(_STEMS))
         .filter(F.arrays_overlap(kinds, F.array(*map(F.lit, SAME))))
         .select(notation.key("source").alias("s"), notation.key("target").alias("t"))
         .filter("s is not null and t is not null and s <> t")

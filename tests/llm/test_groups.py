@@ -60,3 +60,11 @@ def test_edges_with_notations_and_extra_columns(spark):
     df = spark.createDataFrame([(*r, 1, 1) for r in rows], "source string, target string, edge_type string, a int, root int")
     got = {tuple(r) for r in G.duplicate_groups(df).collect()}
     assert got == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d"), ("k", "k"), ("l", "k")}
+
+
+def test_wordings_of_duplicates(spark):
+    yes = ["Duplicate", "dup-of", '["topical", "same_as"]', "EdgeType.IDENTICAL_TO", '{"relation": "copy of"}', "is duplicate of"]
+    no = ["same_project", "not_duplicates", "same_user_goal", None, "", '["same"]']
+    rows = [(i, f"a{i}", f"b{i}", t) for i, t in enumerate(yes + no)]
+    got = G.duplicate_pairs(spark.createDataFrame(rows, "edge_id bigint, source string, target string, edge_type string")).collect()
+    assert sorted(r.a for r in got) == [f"a{i}" for i in range(len(yes))]
