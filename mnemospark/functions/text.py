@@ -55,6 +55,32 @@ PREFERENCE = ("prefer", "like", "want", "don't like", "hate", "love", "always us
 CHANGE = ("fixed", "configured", "set up", "increased", "decreased", "changed", "updated", "installed", "deployed", "improved")
 OUTCOME = ("performance improved", "after", "resulted in", "led to", "caused", "resolved")
 
+# Words that speak for and against each trait of the user, for each style of learning, and for each value.
+TRAITS = {
+    "openness": (
+        ("curious", "explore", "learn", "new", "experiment", "creative", "idea", "interesting", "discover", "try", "好奇", "探索", "学习", "创新", "尝试", "新"),
+        ("stick to", "familiar", "comfort zone", "same", "routine", "保守", "习惯"),
+    ),
+    "conscientiousness": (
+        ("plan", "organize", "schedule", "todo", "checklist", "test", "review", "refactor", "clean", "document", "计划", "整理", "测试", "重构", "文档"),
+        ("hack", "quick fix", "shortcut", "skip", "messy", "临时", "快速修复", "跳过"),
+    ),
+    "extraversion": (("discuss", "share", "talk", "meeting", "collaborate", "team", "together", "pair", "讨论", "分享", "合作", "团队"), ("alone", "quiet", "solo", "单独", "安静")),
+    "agreeableness": (
+        ("agree", "nice", "good point", "makes sense", "helpful", "appreciate", "thanks", "同意", "好的", "谢谢"), ("disagree", "wrong", "no", "bad", "terrible", "不同意", "不对", "不好"),
+    ),
+    "neuroticism": (("anxious", "worry", "stress", "nervous", "frustrated", "overwhelm", "panic", "焦虑", "担心", "压力"), ("calm", "relax", "fine", "confident", "sure", "平静", "放松", "自信")),
+}
+LEARNING = {
+    "reading": ("read", "doc", "documentation", "article", "blog", "阅读", "文档", "文章"), "doing": ("try", "build", "implement", "code", "write", "run", "试", "构建", "实现", "写"),
+    "asking": ("ask", "question", "help", "how to", "请教", "帮助", "怎么"),
+}
+VALUES = {
+    "efficiency": ("fast", "quick", "efficient", "optimize", "performance", "快", "高效", "优化", "性能"), "simplicity": ("simple", "clean", "minimal", "straightforward", "简单", "简洁", "干净"),
+    "reliability": ("stable", "reliable", "robust", "test", "production", "稳定", "可靠", "健壮", "测试"), "learning": ("learn", "understand", "knowledge", "grow", "学习", "理解", "知识"),
+    "autonomy": ("own", "control", "custom", "self", "自己", "控制", "自主"),
+}
+
 
 def tokens(c: Column | str) -> Column:
     """Tokens of two characters or more, in lower case, with repeats."""

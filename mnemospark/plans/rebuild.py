@@ -249,27 +249,44 @@ def adaptive_compress(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.explode(F.arrays_zip(F.col("items"), levels.alias("levels"))).alias("z")).select("z.items.id", "z.items.rank", F.col("z.levels").alias("level"))
 
 
-_TRAITS = {"curiosity": (("why", "how", "wonder", "explore"), ("boring", "skip")), "caution": (("careful", "check", "risk", "test"), ("quick", "just do")), "warmth": (("thank", "please", "glad"), ("hate", "annoying"))}
-
-
 def _sum_contains(words: tuple[str, ...]) -> str:
     return "(" + " + ".join(f"CASE WHEN contains(low, '{w}') THEN 1 ELSE 0 END" for w in words) + ")"
 
 
-@query(_over(S.MEM, "tx AS (SELECT id, created_at, importance, lower(text) AS low FROM mem WHERE state <> 'ghost')", "sg AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{t}' AS trait, id, created_at, 0.02 * importance * ({_sum_contains(p)} - {_sum_contains(n)}) AS d FROM tx WHERE {_sum_contains(p)} + {_sum_contains(n)} > 0" for t, (p, n) in _TRAITS.items()) + ")",
+@query(_over(S.MEM, "tx AS (SELECT id, created_at, importance, lower(text) AS low FROM mem WHERE state <> 'ghost')", "sg AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{t}' AS trait, id, created_at, 0.02 * importance * ({_sum_contains(p)} - {_sum_contains(n)}) AS d FROM tx WHERE {_sum_contains(p)} + {_sum_contains(n)} > 0" for t, (p, n) in T.TRAITS.items()) + ")",
     "od AS MATERIALIZED (SELECT trait, d, row_number() OVER (PARTITION BY trait ORDER BY created_at, id) AS k FROM sg)", "fd AS (SELECT trait, 0::BIGINT AS k, 0.5::DOUBLE AS v FROM (SELECT DISTINCT trait FROM od) UNION ALL SELECT f.trait, o.k, least(1.0, greatest(0.0, v + d)) FROM fd f JOIN od o ON o.trait = f.trait AND o.k = f.k + 1)",
     then="SELECT trait, k AS n, round(v, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY k DESC) AS rn FROM fd) WHERE rn = 1"))
 def personality_traits(spark: SparkSession, folder: str) -> DataFrame:
     """Traits of the user after all memories in their order: each step is kept within 0 and 1, so ranges are folded and their folds composed."""
     a = memory.anchors(spark, folder).filter(decay.is_retrievable()).select("id", "created_at", "importance", F.lower("text").alias("low"))
     parts = None
-    for t, (p, n) in _TRAITS.items():
+    for t, (p, n) in T.TRAITS.items():
         up, down = T.count_contained(F.col("low"), p), T.count_contained(F.col("low"), n)
         own = a.filter(up + down > 0).select(F.lit(t).alias("trait"), "created_at", "id", (0.02 * F.col("importance") * (up - down)).alias("d"))
         parts = own if parts is None else parts.unionByName(own)
     return rebuild.clipped_folds(parts, "trait", ["created_at", "id"], "d", 0.5).select("trait", "n", r6("value", "value"))
 
 
+@query(S.over(S.MEM, "tx AS (SELECT id, importance, lower(text) AS low FROM mem WHERE state <> 'ghost')", then=" UNION ALL ".join(f"SELECT '{v}' AS value, count(*) AS n, round(least(1.0, coalesce(sum(0.05 * importance), 0.0)), 6) AS weight FROM tx WHERE {_sum_contains(ws)} > 0" for v, ws in T.VALUES.items())))
+def personality_values(spark: SparkSession, folder: str) -> DataFrame:
+    """What the user values: every text that speaks for it adds to its weight, up to 1."""
+    a = memory.anchors(spark, folder).filter(decay.is_retrievable()).select("importance", F.lower("text").alias("low"))
+    hit = {v: T.count_contained(F.col("low"), ws) > 0 for v, ws in T.VALUES.items()}
+    sums = a.agg(*[F.struct(F.lit(v).alias("value"), F.count_if(h).alias("n"), F.least(F.lit(1.0), F.coalesce(F.sum(F.when(h, 0.05 * F.col("importance"))), F.lit(0.0))).alias("w")).alias(v) for v, h in hit.items()])
+    return sums.select(F.explode(F.array(*hit)).alias("x")).select("x.value", "x.n", r6("x.w", "weight"))
+
+
+@query(S.over(S.MEM, "tx AS (SELECT id, session, created_at, lower(text) AS low FROM mem WHERE state <> 'ghost' AND session <> '')", "st AS (SELECT *, CASE " + " ".join(f"WHEN {_sum_contains(ws)} > 0 THEN '{k}'" for k, ws in reversed(T.LEARNING.items())) + " END AS style FROM tx)",
+    then="SELECT session, arg_max(style, (created_at, id)) AS style FROM st WHERE style IS NOT NULL GROUP BY 1"))
+def learning_styles(spark: SparkSession, folder: str) -> DataFrame:
+    """How the user learned last in every session: of a text's styles the last named counts."""
+    low, style = F.lower("text"), F.lit(None).cast("string")
+    for k, ws in T.LEARNING.items():
+        style = F.when(T.count_contained(low, ws) > 0, k).otherwise(style)
+    a = memory.anchors(spark, folder).filter(decay.is_retrievable() & (F.col("session") != "")).select("session", "created_at", "id", style.alias("style"))
+    return a.filter("style is not null").groupBy("session").agg(F.max_by("style", F.struct("created_at", "id")).alias("style"))
+
+
 @query(S.over(S.LINKS, S.PAIRS, then="SELECT lo, hi, round(greatest(0.0, least(1.0, weight + 0.05) - 0.02), 6) AS weight, 2 AS versions, 'weaken' AS last_action FROM pairs"))
 def edge_versions(spark: SparkSession, folder: str) -> DataFrame:
     """Every edge strengthened and then weakened, with the log of its changes."""
