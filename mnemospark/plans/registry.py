@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemospark.plans import corpus, facade, graphs, layers, lifecycle, pipelines, rebuild, recall, texts, timeline, upkeep, vectors
+from mnemospark.plans import corpus, facade, fuller, graphs, layers, lifecycle, pipelines, rebuild, recall, texts, timeline, upkeep, vectors
 
-_CATALOGUES = [c.CATALOGUE for c in (lifecycle, graphs, texts, vectors, timeline, pipelines, upkeep, layers, recall, rebuild, facade)]
+_CATALOGUES = [c.CATALOGUE for c in (lifecycle, graphs, texts, vectors, timeline, pipelines, upkeep, layers, recall, rebuild, facade, fuller)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
