@@ -140,3 +140,20 @@ def test_versions_go_on_while_the_fingerprint_stays(spark):
     prints = D.fingerprints(D.cells(D.valid_lines(df))).orderBy("seq").collect()
     assert [r.version for r in prints] == [1, 1, 1, 2, 2] and prints[0].fingerprint == prints[2].fingerprint != prints[3].fingerprint
     assert [(r.from_version, r.to_version, r.change_kind) for r in D.changes(df).collect()] == [(1, 2, "renamed")]
+
+
+def test_empty_and_clashing_tables(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert D.anchors_table(none, None).count() == 0 and D.edges_table(none, None).count() == 0
+    df = lines(spark, [("f1", "anchor", 1, [{"id": "a", "state": "active", "fields": 1, "cells": [1], "route": None}]), ("f2", "anchor", 2, [{"id": "a", "State": "active", "v": {}, "key": ""}])])
+    wide = df.selectExpr("*", "1 as fields", "2 as record", "3 as rid", "4 as old", "5 as version", "6 as renames")
+    kinds = sorted((r.change_kind, r.old_name, r.new_name) for r in D.changes(wide).collect())
+    assert ("renamed", "state", "State") in kinds and len(kinds) == 6
+    rows = {r.file_name: r for r in D.anchors_table(wide, None).collect()}
+    assert rows["f2"].state == "active" and rows["f1"].extras == {"fields": "1", "cells": "[1]", "route": None} and rows["f2"].extras == {"v": "{}", "key": ""}
+
+
+def test_a_field_with_dots_blanks_and_quotes_in_its_name(spark):
+    df = lines(spark, [("f1", "anchor", 1, [{"id": "a", "x.y": 1, 'q"r': 2, "": 3, "a b": 4}]), ("f2", "anchor", 2, [{"id": "a", "x.z": 1, "": "3"}])])
+    kinds = sorted((r.change_kind, r.old_name, r.new_name) for r in D.changes(df).collect())
+    assert kinds == [("removed", "a b", ""), ("removed", 'q"r', ""), ("renamed", "x.y", "x.z"), ("retyped", "", "")]

@@ -162,3 +162,25 @@ def test_a_batch_rewrites_only_the_buckets_of_its_keys(spark, tmp_path):
     own.apply(2, refs(spark, []), parents(spark, [("k150", 2)]))
     assert sorted(set(own.manifest["index"].values())) == [1, 2] and list(own.manifest["index"].values()).count(2) == 1
     assert {(r["kind"], r["n"]) for r in O.snapshot(own.state()).collect()} == {("waiting", 99), ("resolved", 1)}
+
+
+def test_queries_over_empty_tables(spark, tmp_path):
+    from mnemospark.plans.corpus import p3_counts, p3_found
+
+    for name, schema in (
+        ("edges", "edge_id bigint, source string, target string, loaded_at timestamp"), ("anchors", "id string, schema_ref string, loaded_at timestamp"),
+        ("schemas", "id string, instance_ids_json string, loaded_at timestamp"), ("ghosts", "id string, pruned_at double"),
+    ):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert p3_found(spark, str(tmp_path)).count() == 0 and p3_counts(spark, str(tmp_path)).count() == 0
+
+
+def test_a_hot_key_over_batches_of_a_store(spark, tmp_path):
+    own = O.OrphanStore(spark, str(tmp_path))
+    own.apply(1, refs(spark, [(f"r{i}", "hot", 1) for i in range(2000)]), parents(spark, []))
+    own.apply(2, refs(spark, [(f"r{i}", "hot", 5) for i in range(1000, 3000)]), parents(spark, [("hot", 3)]))
+    # the earliest time counts: the first 2000 came before their parent, the others after it
+    assert O.orphans(own.state()).count() == 2000
+    own.apply(3, refs(spark, []), parents(spark, []), parents(spark, [("hot", 9)]))
+    counts = O.snapshot(own.state()).collect()
+    assert {r["kind"] for r in counts} == {"reopened"} and sum(r["n"] for r in counts) == 3000
