@@ -85,6 +85,7 @@ def similarity_gate(incoming: DataFrame, stored: DataFrame, pairs: DataFrame, du
 
     ``pairs`` (a, b, cosine) holds all similar pairs; both tables have id and created_at.
     """
+    pairs = Scratch(pairs.sparkSession, "gate").keep(pairs)  # read from either end
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "cosine").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "cosine"))
     older = both.join(incoming.select("id", "created_at"), "id").join(stored.select(F.col("id").alias("other"), F.col("created_at").alias("then")), "other")
     older = older.filter(F.struct("then", F.col("other").alias("id")) < F.struct("created_at", "id"))

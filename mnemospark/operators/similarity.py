@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mnemospark.store import Scratch
 
@@ -23,6 +24,10 @@ from mnemospark.store import Scratch
 BLOCK_ROWS = 16_384
 _TILE = 1_024
 
+#: Vectors of a block of ``similar_pairs``, which holds no more than a tile of products: each vector
+#: is sent once for every block.
+PAIR_ROWS = 65_536
+
 #: Most partitions of a join; beyond it several pairs of blocks share one.
 MOST_PARTITIONS = 20_000
 
@@ -41,11 +46,11 @@ def _sides(vectors: DataFrame, blocks: int) -> DataFrame:
     return out.sortWithinPartitions("i", "j") if tasks > MOST_PARTITIONS else out
 
 
-def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, dict[int, Block]]]:
-    """One pair of blocks after another, with ids in order and their vectors."""
+def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """One pair of blocks after another: its keys (i and j the last) and each block's ids in order with their vectors."""
     now, held = None, {}
 
-    def done() -> tuple[int, int, dict[int, Block]]:
+    def done() -> tuple:
         out = {}
         for b, xs in held.items():
             ids, v = np.concatenate([x[0] for x in xs]), np.concatenate([x[1] for x in xs])
@@ -56,16 +61,17 @@ def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, dict[i
     for batch in batches:
         if not batch.num_rows:
             continue
-        i, j, block = (np.asarray(batch.column(c)) for c in range(3))
-        cuts = [0, *(np.flatnonzero((np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist(), batch.num_rows]
+        *keys, block = (np.asarray(c) for c in batch.columns[:-2])
+        cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            if (pair := (int(i[a]), int(j[a]))) != now:
+            if (pair := tuple(k[a] for k in keys)) != now:
                 if now is not None:
                     yield done()
                 now, held = pair, {}
             for x in np.unique(block[a:b]):
                 own = batch.take(pa.array(a + np.flatnonzero(block[a:b] == x)))
-                held.setdefault(int(x), []).append((np.asarray(own.column(3)), np.array(own.column(4).to_pylist(), dtype=np.float64)))
+                flat = np.asarray(own.column(len(keys) + 2).flatten(), dtype=np.float64)
+                held.setdefault(int(x), []).append((np.asarray(own.column(len(keys) + 1)), flat.reshape(own.num_rows, -1)))
     if now is not None:
         yield done()
 
@@ -74,35 +80,116 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None] + 1e-8)
 
 
+def _above(a: np.ndarray, b: np.ndarray, over: float, half: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``a``, rows of ``b`` and the cosine of their pairs above ``over``, tile by tile.
+
+    Products in single precision, with room for their error, say which pairs are worked
+    out in double precision.  ``half``: both are the same, and of every two rows one pair is enough.
+    """
+    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    unit = lambda v, n: (v / np.where(n > 0, n, 1)[:, None]).astype(np.float32)
+    ua, ub = unit(a, na), unit(b, nb)
+    # the 1e-8 of the definition draws a cosine towards 0, by less than the room unless vectors are tiny
+    tiny = min(na.min(initial=1.0), nb.min(initial=1.0)) < 1e-2
+    least = -2.0 if tiny else over - 1e-3
+    for s in range(0, len(a), _TILE):
+        for t in range(s // (4 * _TILE) * 4 * _TILE if half else 0, len(b), 4 * _TILE):
+            tile = ua[s : s + _TILE] @ ub[t : t + 4 * _TILE].T
+            near = np.flatnonzero(tile.ravel() > least)
+            for k in range(0, len(near), PAIR_ROWS):
+                x, y = np.divmod(near[k : k + PAIR_ROWS], tile.shape[1])
+                x, y = x + s, y + t
+                if half:
+                    x, y = x[x < y], y[x < y]
+                cos = np.einsum("ij,ij->i", a[x], b[y]) / (na[x] * nb[y] + 1e-8)
+                keep = cos > over
+                if keep.any():
+                    yield x[keep], y[keep], cos[keep]
+
+
 def similar_pairs(vectors: DataFrame, over: float, blocks: int | None = None) -> DataFrame:
     """(a, b, cosine), a < b, of all pairs of (id, embedding) whose cosine is above ``over``; ids are numbers or strings.
 
     Repeated ids are compared as they come; rows without an id or vector are left out.
     All vectors must have the same length.
     """
-    blocks = blocks or max(1, ceil(vectors.count() / BLOCK_ROWS))
+    n = 0 if blocks else vectors.count()
+    blocks = blocks or max(1, ceil(n / PAIR_ROWS), min(4, ceil(n / BLOCK_ROWS)))
+    kind = dict(vectors.dtypes)["id"]
+    arrow = to_arrow_type(vectors.schema["id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, own in _tasks(batches):
             if i not in own or j not in own:
                 continue
             (ia, va), (ib, vb) = own[i], own[j]
-            for s in range(0, len(va), _TILE):
-                cos = _cosines(va[s : s + _TILE], vb)
-                r, c = np.nonzero(cos > over)
-                left, right = ia[s + r], ib[c]
-                keep = left < right if i == j else left != right
-                left, right, found = left[keep], right[keep], cos[r[keep], c[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(found)], names=["a", "b", "cosine"])
+            for r, c, found in _above(va, vb, over, i == j):
+                left, right = ia[r], ib[c]
+                keep = left != right
+                left, right, found = left[keep], right[keep], found[keep]
+                # without the types an array of no strings would be one of nulls
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right), arrow), pa.array(np.maximum(left, right), arrow), pa.array(found)], names=["a", "b", "cosine"])
 
-    kind = dict(vectors.dtypes)["id"]
     return _sides(vectors, blocks).mapInArrow(run, f"a {kind}, b {kind}, cosine double")
 
 
+def _forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The numbers of edges (u, v) between ``n`` nodes that join all that the edges join, fewer than ``n``."""
+    root, kept, left = np.arange(n), [], np.arange(len(u))
+    while True:
+        x, y = root[u[left]], root[v[left]]
+        apart = x != y
+        if not apart.any():
+            return np.concatenate([*kept, left[:0]])
+        left, low, high = left[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        # each root hangs onto one lesser root
+        hung, first = np.unique(high, return_index=True)
+        kept.append(left[first])
+        root[hung] = low[first]
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def alike_within(vectors: DataFrame, by: str, over: float, rows: int = 2 * BLOCK_ROWS) -> DataFrame:
+    """(a, b): pairs of (id, embedding) of one group whose cosine is above ``over``, as many as join all such pairs.
+
+    Only vectors of one group meet.  A group of more than ``rows`` is cut into blocks, and
+    each task passes on fewer pairs than it has vectors, with the same components.
+    """
+    usable = vectors.filter(f"id is not null and embedding is not null and size(embedding) > 0 and `{by}` is not null").select(F.col(by).alias("g"), "id", "embedding")
+    parts = usable.groupBy("g").agg(F.ceil(F.count("*") / rows).cast("int").alias("n"))
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    sent = usable.join(parts, "g").select("g", "id", "embedding", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("block"), every.alias("o"))
+    sides = sent.select("g", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "embedding")
+    kind = dict(vectors.dtypes)["id"]
+    arrow = to_arrow_type(vectors.schema["id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, i, j, own in _tasks(batches):
+            if i not in own or j not in own:
+                continue
+            (ia, va), (ib, vb) = own[i], own[j]
+            ids, shift = (ia, 0) if i == j else (np.concatenate([ia, ib]), len(ia))
+            u = v = np.empty(0, dtype=np.int64)
+            for r, c, _ in _above(va, vb, over, i == j):
+                u, v = np.concatenate([u, r]), np.concatenate([v, c + shift])
+                if len(u) > 8 * PAIR_ROWS:
+                    keep = _forest(u, v, len(ids))
+                    u, v = u[keep], v[keep]
+            keep = _forest(u, v, len(ids))
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u[keep]], arrow), pa.array(ids[v[keep]], arrow)], names=["a", "b"])
+
+    return sides.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def knn(vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
     """(id, other, cosine, rank) of each vector's k most similar others; ties to the lesser id."""
     blocks = blocks or max(1, ceil(vectors.count() / BLOCK_ROWS))
 
+    kind = dict(vectors.dtypes)["id"]
+    arrow = to_arrow_type(vectors.schema["id"].dataType)
+
     def best(ids: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
         for s in range(0, len(a), _TILE):
             cos = np.round(_cosines(a[s : s + _TILE], b), 12)
@@ -112,7 +199,7 @@ def knn(vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
             found = np.take_along_axis(cos, take, 1)
             keep = found.ravel() > -9
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(mine, take.shape[1])[keep]), pa.array(others[take].ravel()[keep]), pa.array(found.ravel()[keep])], names=["id", "other", "cosine"]
+                [pa.array(np.repeat(mine, take.shape[1])[keep], arrow), pa.array(others[take].ravel()[keep], arrow), pa.array(found.ravel()[keep])], names=["id", "other", "cosine"]
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +208,6 @@ def knn(vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
                 if p in own and q in own:
                     yield from best(*own[p], *own[q])
 
-    kind = dict(vectors.dtypes)["id"]
     found = _sides(vectors, blocks).mapInArrow(run, f"id {kind}, other {kind}, cosine double")
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("cosine"), "other"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
