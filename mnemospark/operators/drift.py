@@ -59,8 +59,6 @@ STORE = FILE[:2]
 
 #: Shapes of values that two names of one column must share, as a part of the rarer name's shapes.
 SHAPE_SHARE = 0.8
-#: Least hashes of shapes that are compared for each name.
-SHAPES = 256
 
 
 def valid_lines(raw: DataFrame) -> DataFrame:
@@ -250,17 +248,18 @@ def _alike(lines: DataFrame, names: DataFrame) -> DataFrame:
     """(record_kind, a, b): names that no file has side by side and whose values have the same shapes.
 
     A shape is a value's JSON with every number as ``#``; shapes without a letter say
-    nothing.  Compared are the least ``SHAPES`` hashes of each name: at least
-    ``SHAPE_SHARE`` of those of the name with fewer must be among the other's.
+    nothing.  All shapes of each name are compared: at least ``SHAPE_SHARE``
+    of those of the name with fewer must be among the other's.
     """
     values = lines.select("record_kind", F.explode("fields").alias("field", "v")).filter(~F.is_variant_null("v"))
     shape = F.regexp_replace(F.to_json("v"), r"[0-9]+(?:\.[0-9]+)?", "#")
     shapes = values.select("record_kind", "field", shape.alias("s")).filter(F.col("s").rlike("[A-Za-z]{3}") & ~F.col("s").isin("true", "false"))
     each = shapes.select("record_kind", "field", F.xxhash64("s").alias("h")).distinct()
-    low = each.withColumn("r", F.row_number().over(W.partitionBy("record_kind", "field").orderBy("h"))).filter(F.col("r") <= SHAPES)
-    sizes = low.groupBy("record_kind", "field").agg(F.count("*").alias("size"), F.max("h").alias("top"))
-    a, b = (low.select("record_kind", "h", F.col("field").alias(x)) for x in "ab")
-    common = a.join(b, ["record_kind", "h"]).filter("a < b").groupBy("record_kind", "a", "b").agg(F.count("*").alias("n"))
+    # names are few: the names of a shape are a set, and sets are counted before they are paired
+    sets = each.groupBy("record_kind", "h").agg(F.array_sort(F.collect_list("field")).alias("fields")).groupBy("record_kind", "fields").agg(F.count("*").alias("n"))
+    one = sets.select("record_kind", "fields", "n", F.explode("fields").alias("a"))
+    sizes = one.groupBy("record_kind", F.col("a").alias("field")).agg(F.sum("n").alias("size"))
+    common = one.select("record_kind", "n", "a", F.explode("fields").alias("b")).filter("a < b").groupBy("record_kind", "a", "b").agg(F.sum("n").alias("n"))
     of = lambda x: sizes.select("record_kind", F.col("field").alias(x), F.col("size").alias(f"size_{x}"))
     likely = common.join(of("a"), ["record_kind", "a"]).join(of("b"), ["record_kind", "b"]).filter(F.col("n") >= SHAPE_SHARE * F.least("size_a", "size_b"))
     x, y = (names.select(*FILE, F.col("field").alias(n)).distinct() for n in "ab")

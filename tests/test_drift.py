@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from mnemospark.operators import drift as D
 from mnemospark.store import Scratch
 
@@ -157,3 +159,13 @@ def test_a_field_with_dots_blanks_and_quotes_in_its_name(spark):
     df = lines(spark, [("f1", "anchor", 1, [{"id": "a", "x.y": 1, 'q"r': 2, "": 3, "a b": 4}]), ("f2", "anchor", 2, [{"id": "a", "x.z": 1, "": "3"}])])
     kinds = sorted((r.change_kind, r.old_name, r.new_name) for r in D.changes(df).collect())
     assert kinds == [("removed", "a b", ""), ("removed", 'q"r', ""), ("renamed", "x.y", "x.z"), ("retyped", "", "")]
+
+
+def test_all_shapes_of_a_name_are_compared(spark):
+    """A name whose 300 shapes are among another's 3000: the least 256 of each have few in common."""
+    word = lambda n: "shape" + "".join(chr(97 + n // 26**k % 26) for k in range(3))
+    df = lines(spark, [
+        ("f1", "anchor", 1, [{"id": f"a{n}", "text": word(n)} for n in range(3000)]), ("f2", "anchor", 1, [{"id": f"b{n}", "body": word(10 * n)} for n in range(300)]),
+    ]).withColumn("store_name", F.col("file_name"))
+    got = {r.file_name: r.n for r in D.anchors_table(df, None).groupBy("file_name").agg(F.count("text").alias("n")).collect()}
+    assert got == {"f1": 3000, "f2": 300}
