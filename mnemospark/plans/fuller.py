@@ -48,8 +48,8 @@ _NEAR = 0.55
 def session_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Clusters of three or more alike memories of one session, as the summary that stands for each."""
     a = memory.anchors(spark, folder).select("id", "session", "importance", "emotional_valence")
-    s = a.filter("session <> ''").select("id", "session")
-    p = similarity.similar_pairs(_vectors(spark, folder), _NEAR).join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").filter("sa = sb")
+    s = Scratch(spark, "clusters").keep(_vectors(spark, folder).join(a.filter("session <> ''").select("id", "session"), "id"))
+    p = similarity.alike_within(s, "session", _NEAR)
     groups = Scratch(spark, "clusters").keep(graph.components(p.select(F.col("a").alias("lo"), F.col("b").alias("hi")))).toDF("id", "cluster")
     g = groups.join(a, "id").groupBy("cluster").agg(F.min("session").alias("session"), F.count("*").alias("n"), F.avg("importance").alias("i"), F.avg("emotional_valence").alias("v"))
     return g.filter("n >= 3").select("cluster", "session", "n", r6("i", "importance"), r6("v", "valence"), F.lit(0.85).alias("stability"))
