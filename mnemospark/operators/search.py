@@ -139,3 +139,39 @@ class PostingIndex:
         idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
         one = times * idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / avgdl))
         return hits.join(df, "term").groupBy("id").agg(F.sum(one).alias("score"))
+
+
+def word_matches(texts: DataFrame, templates: DataFrame, least: float, rows: int = 4_096) -> DataFrame:
+    """(anchor, schema, m): the share m of a template's words that a text has, where it is ``least`` or more.
+
+    ``texts`` has anchor and words, ``templates`` schema and words, each word once.  A block
+    of ``rows`` texts meets a block of twice as many templates in one task, which counts
+    words by the templates that have them; no pair is shuffled.
+    """
+    import numpy as np
+    import pandas as pd
+
+    left, right = max(1, -(-texts.count() // rows)), max(1, -(-templates.count() // (2 * rows)))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = texts.filter("size(words) > 0").select("anchor", "words", of("anchor", left).alias("i"), every(right).alias("j"))
+    t = templates.filter("size(words) > 0").select("schema", "words", every(left).alias("i"), of("schema", right).alias("j"))
+
+    def match(a: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        hits, shares, sizes = [], [], np.array([len(x) for x in t.words])
+        having: dict[str, list[int]] = {}
+        for n, words in enumerate(t.words):
+            for w in words:
+                having.setdefault(w, []).append(n)
+        lists = {w: np.array(x) for w, x in having.items()}
+        for words in a.words:
+            known = [lists[w] for w in words if w in lists]
+            share = np.bincount(np.concatenate(known), minlength=len(t)) / sizes if known else np.zeros(0)
+            hit = np.flatnonzero((share >= least) & (share > 0))
+            hits.append(hit)
+            shares.append(share[hit])
+        at = np.repeat(np.arange(len(a)), [len(x) for x in hits])
+        found = np.concatenate([np.zeros(0, dtype=np.int64), *hits])
+        return pd.DataFrame({"anchor": a.anchor.to_numpy()[at], "schema": t["schema"].to_numpy()[found], "m": np.concatenate([np.zeros(0), *shares])})
+
+    return a.groupBy("i", "j").cogroup(t.groupBy("i", "j")).applyInPandas(match, f"anchor {dict(texts.dtypes)['anchor']}, schema {dict(templates.dtypes)['schema']}, m double")

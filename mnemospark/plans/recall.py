@@ -324,10 +324,10 @@ def find_reflections(spark: SparkSession, folder: str) -> DataFrame:
 def schema_match(spark: SparkSession, folder: str) -> DataFrame:
     """Which patterns' templates the most important active texts match: the share of the template's words."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda x: x != ""))
-    t = memory.schemas(spark, folder).filter("template is not null").select(F.col("id").alias("schema"), F.size(words("template")).alias("of"), F.explode(words("template")).alias("w"))
-    a = memory.anchors(spark, folder).filter("state = 'active' and importance > 0.9").select(F.col("id").alias("anchor"), F.explode(words("text")).alias("w"))
-    n = a.join(t, "w").groupBy("anchor", "schema").agg(F.count("*").alias("n"), F.first("of").alias("of"))
-    return n.select("anchor", "schema", (F.col("n") / F.col("of")).alias("m")).filter("m >= 0.3").select("anchor", "schema", r6("m", "match"))
+    t = memory.schemas(spark, folder).filter("template is not null").select(F.col("id").alias("schema"), words("template").alias("words"))
+    a = memory.anchors(spark, folder).filter("state = 'active' and importance > 0.9").select(F.col("id").alias("anchor"), words("text").alias("words"))
+    scratch = Scratch(spark, "match")
+    return search.word_matches(scratch.keep(a), scratch.keep(t), 0.3).select("anchor", "schema", r6("m", "match"))
 
 
 @query(S.over(*_BASE, then=f"""SELECT id, round(s, 6) AS score FROM (SELECT id, CASE WHEN list_has_any(tags, ['image', 'photo']) THEN 0.3 * c + 0.7 * {_cos('list_reverse(e)', 'qe')} ELSE 0.9 * c + 0.1 * {_cos('list_reverse(e)', 'qe')} END AS s FROM near) {_ORDER} 10"""))

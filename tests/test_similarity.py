@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from mnemospark.operators import similarity
+from mnemospark.operators import search, similarity
 
 
 def strings(spark, n=40, seed=3):
@@ -56,3 +56,15 @@ def test_alike_within_groups_joins_what_all_pairs_join(spark, monkeypatch):
         got = [(int(r.a[1:]), int(r.b[1:])) for r in similarity.alike_within(df, "session", 0.9, rows_of_block).collect()]
         assert joined(got) == want and all(cos[a, b] > 0.9 and group[a] == group[b] for a, b in got)
         assert rows_of_block == 40 or len(got) == sum(r != i for i, r in enumerate(want))
+
+
+def test_words_of_templates_in_blocks(spark):
+    """Every text has the word that every template has; blocks of any size find the pairs of brute force."""
+    rng = np.random.default_rng(6)
+    bag = lambda k: ["the", *(f"w{x}" for x in sorted(set(rng.integers(0, 12, k).tolist())))]
+    a, t = [(f"a{i}", bag(5)) for i in range(40)] + [("none", [])], [(f"t{i}", bag(6)) for i in range(30)] + [("alone", ["x"])]
+    want = {(i, j, len(set(x) & set(y)) / len(y)) for i, x in a for j, y in t if len(set(x) & set(y)) / len(y) >= 0.5}
+    texts, templates = spark.createDataFrame(a, "anchor string, words array<string>"), spark.createDataFrame(t, "schema string, words array<string>")
+    for rows in (7, 1000):
+        got = search.word_matches(texts, templates, 0.5, rows)
+        assert {(r.anchor, r["schema"], r.m) for r in got.collect()} == want and got.count() == len(want)
