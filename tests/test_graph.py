@@ -98,6 +98,24 @@ def test_transitive_all_takes_every_neighbour_of_a_hub(spark):
         assert len(got) == len(want) and dict(got) == pytest.approx(want)
 
 
+def test_transitive_all_shuffles_edges_and_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(G, "PATH_ROWS", 50)  # several portions in a task
+    monkeypatch.setattr(G, "BATCH_ROWS", 7)
+    rng = random.Random(6)
+    weight = {("a hub", f"s{i:03d}"): rng.choice([0.6, 0.7, 0.9]) for i in range(60)} | {(f"s{i:03d}", "z"): rng.choice([0.6, 0.8, float("nan")]) for i in range(0, 60, 3)}
+    weight |= {("s000", "s001"): None, ("s002", "s003"): 0.1, ("s004", "\U0001f300"): 0.9, ("s005", "\uff5e"): 0.9, ("a hub", "\U0001f300"): 0.9, ("a hub", "\uff5e"): 0.9}
+    p = pairs(spark, [(a, b, "topical", w) for (a, b), w in weight.items()])
+    p.createOrReplaceTempView("weighted")
+    want = spark.sql("""with sd as (select lo via, hi e, weight w from weighted where weight >= 0.6 union all select hi, lo, weight from weighted where weight >= 0.6)
+        select a.e lo, b.e hi, max(a.w * b.w * 0.7D) weight from sd a join sd b on a.via = b.via and a.e < b.e left anti join weighted p on p.lo = a.e and p.hi = b.e group by 1, 2""")
+    want = sorted((r.lo, r.hi, str(r.weight)) for r in want.collect())
+    for rows in (16, 1024):
+        got = G.transitive_all(p, rows=rows)
+        assert sorted((r.lo, r.hi, str(r.weight)) for r in got.collect()) == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression") <= 1 and "Join" not in plan and "Aggregate" not in plan
+
+
 def test_causal_chains_do_not_turn_back(spark):
     e = spark.createDataFrame([("a", "b", "causes", 0.9), ("b", "c", "fixes", 0.9), ("c", "a", "causes", 0.9), ("c", "d", "topical", 0.9)], "src string, dst string, edge_type string, weight double")
     got = {(r.path, r.depth) for r in G.causal_chains(e, seeds(spark, "a")).collect()}
