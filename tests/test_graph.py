@@ -72,6 +72,27 @@ def test_pagerank_mass(spark):
     assert r.orderBy(F.desc("rank")).first().node == "a"
 
 
+def test_labels_go_by_one_shuffle_of_the_votes_a_round(spark, monkeypatch):
+    plans, keep = [], G.Scratch.keep
+    monkeypatch.setattr(G.Scratch, "keep", lambda self, df, *by: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(self, df, *by))
+    rng = random.Random(8)
+    rows = [(f"n{a:02d}", f"n{b:02d}", rng.choice([0.2, 0.4, None, float("nan")] if a == 3 else [0.2, 0.4])) for a in range(20) for b in range(20) if a != b and rng.random() < 0.2]
+    rows += [("lone", "n00", None)]  # without a weight it has no votes, and its label goes
+    both = spark.createDataFrame(rows, "node string, other string, weight double")
+    heavy = lambda w: (1, 0) if w != w else (0, w)
+    for rounds in (1, 2, 3):
+        labels = {a: a for a, _, _ in rows}
+        for _ in range(rounds):
+            votes: dict[str, dict[str, float]] = {}
+            for a, b, w in rows:
+                if w is not None and a in labels and b in labels:
+                    votes.setdefault(a, {})[labels[b]] = votes.get(a, {}).get(labels[b], 0.0) + w
+            sums = {a: {t: heavy(round(w, 9)) for t, w in v.items()} for a, v in votes.items()}
+            labels = {a: min(v, key=lambda t, v=v, a=a: ((-v[t][0], -v[t][1]), t != labels[a], t)) for a, v in sums.items()}
+        assert {r.node: r.label for r in G.label_propagation(both, rounds).collect()} == labels
+    assert plans[1].count("Join ") == 1 and plans[1].count("RepartitionByExpression") == 1
+
+
 def test_transitive_is_bounded_at_hubs(spark):
     p = pairs(spark, [("hub", f"s{i:03d}", "topical", 0.9) for i in range(200)])
     assert G.transitive(p).count() == 32 * 31 // 2
