@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.operators import graph as G
 from mnemospark.sources import memory
+from mnemospark.store import Scratch
 
 EDGES = [("a", "b", "causes", 0.7), ("a", "c", "causes", 0.6), ("b", "d", "topical", 0.5), ("c", "e", "contradicts", 0.5), ("d", "f", "preference", 0.4)]
 
@@ -137,6 +138,15 @@ def test_transitive_all_shuffles_edges_and_no_pairs(spark, monkeypatch):
         assert plan.count("RepartitionByExpression") <= 1 and "Join" not in plan and "Aggregate" not in plan
 
 
+def test_transitive_all_sends_edges_only_where_they_meet_others(spark):
+    sides = [("hub", f"s{i:03d}", 0.9, i % 8) for i in range(64)] + [(f"s{i:03d}", "hub", 0.9, 0) for i in range(64)]
+    sides += [("a", "p", 0.9, 1), ("a", "q", 0.9, 6), ("b", "p", 0.9, 1), ("b", "r", 0.9, 1)]
+    sent = G._sent_sides(spark.createDataFrame(sides, "u string, v string, weight double, x int"), Scratch(spark, "sent")).collect()
+    # all edges of the hub go everywhere, those to a node's only neighbour nowhere
+    assert sum(r.u == "hub" for r in sent) == 64 * 8
+    assert sorted((r.u, r.v, r.x, r.y) for r in sent if r.u != "hub") == [("a", "p", 1, 6), ("a", "q", 6, 1), ("b", "p", 1, 1), ("b", "r", 1, 1)]
+
+
 def test_causal_chains_do_not_turn_back(spark):
     e = spark.createDataFrame([("a", "b", "causes", 0.9), ("b", "c", "fixes", 0.9), ("c", "a", "causes", 0.9), ("c", "d", "topical", 0.9)], "src string, dst string, edge_type string, weight double")
     got = {(r.path, r.depth) for r in G.causal_chains(e, seeds(spark, "a")).collect()}
